@@ -38,7 +38,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, also when it isn't on their PYTHONPATH."""
+    """Make this package importable in Python workers, also when it isn't on their PYTHONPATH, and keep the
+    Arrow batches that they get small: texts have no bound of their own. The session keeps these settings."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 256), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
+        spark.conf.set(name, str(most))
     on_path = os.environ.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT in map(os.path.abspath, filter(None, on_path)) or getattr(spark.sparkContext, "_codelattice", None):
         return
@@ -149,27 +152,33 @@ def as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
 
 
 # ---------------------------------------------------------------- connected components
+FOREST = 500_000
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the links in a partition, only as many as keep its components together."""
-    for batch in batches:
-        parent: dict[int, int] = {}
+    """Of the links in a partition, only as many as keep its components together; up to FOREST nodes at once."""
+    parent: dict[int, int] = {}
 
-        def root(x: int) -> int:
-            at = x
-            while (up := parent.setdefault(at, at)) != at:
-                at = up
-            while parent[x] != at:
-                parent[x], x = at, parent[x]
-            return at
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
 
+    def out() -> pa.RecordBatch:
+        pairs = [(root(x), x) for x in list(parent) if parent[x] != x]
+        parent.clear()
+        u, v = zip(*pairs, strict=True) if pairs else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    for batch in batches:
         for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
             a, b = root(u), root(v)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-        pairs = [(root(x), x) for x in list(parent) if parent[x] != x]
-        if pairs:
-            u, v = zip(*pairs, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+        if len(parent) > FOREST:
+            yield out()
+    yield out()
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
