@@ -5,10 +5,12 @@ document's shingles, so a signature of 2k values costs k hash evaluations per sh
 each agree with probability J; their mean is an unbiased estimate of J with a lower variance than k minima.
 Bands mix both kinds of value. Every link is confirmed on the full shingle sets.
 
-A bucket (documents that agree in one band) is never expanded into pairs as a whole: each member is first
-compared with the bucket's centre, and members that are already in one component need no further pair.
-Rounds with other centres follow, and whatever pairs of different components are left in a bucket are all
-compared, so no candidate is dropped. Documents with equal shingle sets are folded to one class before.
+A bucket (documents that agree in one band) is never expanded into pairs. Documents with equal shingle sets
+are folded to one class; each member is compared with the bucket's smallest doc_id; and in buckets that
+still hold several components, the members outside the largest one are compared with all others in blocks
+of bounded size: a block's intersections are counted by a matrix product over its shared shingles, and only
+a spanning forest of the links found leaves the task. So every pair of a bucket is either compared or
+already in one component, whatever the bucket's size.
 
 Null, empty and blank texts have the empty set (n_shingles 0) and link with nothing. Rows that repeat a
 doc_id are one node: their links are pooled, and each row is returned. Other columns are not read.
@@ -23,14 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import as_bytes, checkpointed, connected_components, materialise, shingle_set, ship
+from codelattice.llm.common import as_bytes, connected_components, materialise, shingle_set, ship
 
 SHINGLE, PERCENT, PERMUTATIONS, BANDS, ROWS = 5, 80, 40, 20, 4
-#: Pairs whose estimated similarity is this far under the threshold are not fetched in full: over seven
+#: Pairs whose estimated similarity is this far under the threshold are not fetched in full: over five
 #: standard deviations of an estimate from 80 values.
-SLACK = 0.32
-STAR_ROUNDS = 4
+SLACK = 0.25
 CHUNK = 65_536
+#: Shingles on either side of a block, about, and ids that may be broadcast (8 MB).
+BLOCK_SHINGLES, BROADCAST_IDS = 250_000, 1_000_000
 
 
 def _family(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,20 +117,107 @@ def _verify(percent: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, slack: float) -> DataFrame:
+def _sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, s) of the documents ``ids``. Few ids go to the texts, many meet them in a shuffle."""
+    ids = materialise(ids.distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    found = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, s binary")
+    return materialise(found, "sets")
+
+
+def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     size = reps.select("doc_id", "n_shingles", "sig")
     x = size.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sx"))
     y = size.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sy"))
     near = pairs.join(x, "a").join(y, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    near = near.select("a", "b", "sx", "sy").mapInArrow(_estimate, "a long, b long, estimate double").where(F.col("estimate") >= percent / 100 - slack)
+    near = near.select("a", "b", "sx", "sy").mapInArrow(_estimate, "a long, b long, estimate double").where(F.col("estimate") >= percent / 100 - SLACK)
     near = materialise(near.select("a", "b"), "near")
-    ids = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-    s = materialise(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, s binary").dropDuplicates(["doc_id"]), "sets")
+    s = _sets_of(near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))), docs, k)
     both = near.join(s.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     return materialise(both.select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a long, b long"), "links")
 
 
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set."""
+    words = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), np.float32)
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(words, flat), max(0, len(words) - 1))
+        hit = words[at] == flat
+        at, row = at[hit], row[hit]
+        order = np.argsort(at, kind="stable")
+        return at[order], row[order]
+
+    if len(words):
+        (xa, xr), (ya, yr) = places(left), places(right)
+        for i in range(0, len(words), 2048):
+            parts = []
+            for at, row, n in ((xa, xr, len(left)), (ya, yr, len(right))):
+                lo, hi = np.searchsorted(at, [i, i + 2048])
+                m = np.zeros((n, min(2048, len(words) - i)), np.float32)
+                m[row[lo:hi], at[lo:hi] - i] = 1
+                parts.append(m)
+            out += parts[0] @ parts[1].T
+    return out
+
+
+def _compare(percent: int):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        ids, comp, side = (table.column(c).to_numpy() for c in ("doc_id", "component", "side"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("s")]
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        links = []
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if len(x) and len(y):
+            size = np.array([len(s) for s in sets])
+            common = common_counts([sets[i] for i in x], [sets[i] for i in y])
+            near = (100 * common >= percent * (size[x][:, None] + size[y][None, :] - common)) & (comp[x][:, None] != comp[y][None, :])
+            for i, j in zip(*np.nonzero(near), strict=True):
+                a, b = root(int(comp[x[i]])), root(int(comp[y[j]]))
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    links.append((int(ids[x[i]]), int(ids[y[j]])))
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _blocks(left: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between different components of a bucket; left: key, doc_id, component."""
+    sized = left.join(reps.select("doc_id", "n_shingles"), "doc_id")
+    parts = sized.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    main = parts.groupBy("key").agg(F.max(F.struct("n", "component", "w")).alias("top"), F.sum("w").alias("all"))
+    main = main.select("key", F.col("top.component").alias("main"), F.ceil(F.col("top.w") / BLOCK_SHINGLES).alias("m"), F.greatest(F.ceil((F.col("all") - F.col("top.w")) / BLOCK_SHINGLES), F.lit(1)).alias("o"))
+    rows = sized.join(main, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.when(F.col("component") == F.col("main"), F.col("m")).otherwise(F.col("o"))))
+    # Blocks (i, j, kind): the i-th part of the others against the j-th part of the main component, or of the others.
+    def unit(i, j, kind, side):
+        return F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), F.lit(kind).alias("kind"), F.lit(side).alias("side"))
+
+    to = F.sequence(F.lit(0).cast("long"), F.col("o") - 1)
+    inside = F.transform(to, lambda i: unit(i, F.col("own"), 0, 1))
+    against = F.transform(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), lambda j: unit(F.col("own"), j, 0, 0))
+    later = F.transform(F.filter(to, lambda j: j >= F.col("own")), lambda j: unit(F.col("own"), j, 1, 0))
+    earlier = F.transform(F.filter(to, lambda i: i <= F.col("own")), lambda i: unit(i, F.col("own"), 1, 1))
+    units = F.when(F.col("component") == F.col("main"), inside).otherwise(F.concat(against, later, earlier))
+    rows = materialise(rows.select("key", "doc_id", "component", F.explode(units).alias("u")).select("key", "u.*", "doc_id", "component"), "units")
+    # Blocks whose two sides hold the same single component need no look.
+    busy = rows.groupBy("key", "i", "j", "kind").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("side").alias("s0"), F.max("side").alias("s1"))
+    rows = rows.join(busy.where("low < high and s0 < s1").select("key", "i", "j", "kind"), ["key", "i", "j", "kind"], "left_semi")
+    s = _sets_of(rows.select("doc_id"), docs, k)
+    return materialise(rows.join(s, "doc_id").groupBy("key", "i", "j", "kind").applyInArrow(_compare(percent), "a long, b long"), "links")
+
+
 def near_duplicates(
     docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, permutations: int = PERMUTATIONS, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -144,41 +234,23 @@ def near_duplicates(
     signed = materialise(docs.mapInArrow(_signer(shingle, permutations, bands, rows), "doc_id long, n_shingles long, d1 long, d2 long, sig binary, keys array<long>"), "signed")
     full = signed.where("n_shingles > 0")
     classes = full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    copies = full.join(classes.where("copies > 1"), ["d1", "d2", "n_shingles"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    classes = materialise(classes.where("copies > 1"), "classes")  # apart, so that a hot class can be split in the join
+    copies = full.join(classes, ["d1", "d2", "n_shingles"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     copies = materialise(copies.where("a <> b").distinct(), "copies")
     reps = full.join(copies.select(F.col("b").alias("doc_id")), "doc_id", "left_anti")
     slots = reps.select("doc_id", F.explode("keys").alias("key"))
     many = slots.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     slots = materialise(slots.join(many, "key").distinct(), "slots")
 
-    links, tested = None, None
-    component = slots.select(F.col("doc_id").alias("node")).distinct().withColumn("component", F.col("node"))
-    left = slots.join(component, F.col("doc_id") == F.col("node")).select("key", "doc_id", "component")
-    for turn in range(STAR_ROUNDS + 1):
-        if turn:
-            # Buckets that still hold several components.
-            mixed = left.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-            left = materialise(left.join(mixed, "key"), "left")
-            if left.isEmpty():
-                break
-        if turn < STAR_ROUNDS:
-            rank = F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", "key", F.lit(turn))
-            centre = left.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "doc_id", "component")).alias("c"))
-            pairs = left.join(centre, "key").where(F.col("component") != F.col("c.component")).select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b"))
-        else:
-            other = left.select("key", F.col("doc_id").alias("o"), F.col("component").alias("oc"))
-            pairs = left.join(other, "key").where("component < oc").select(F.least("doc_id", "o").alias("a"), F.greatest("doc_id", "o").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        found = _confirmed(pairs, reps, docs, shingle, percent, SLACK)
-        links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if not found.isEmpty():
-            component = materialise(connected_components(links), "components")
-            left = left.drop("component").join(component, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    every = copies if links is None else copies.unionByName(links)
-    component = checkpointed(connected_components(every))
+    centre = slots.groupBy("key").agg(F.min("doc_id").alias("a"))
+    star = slots.join(centre, "key").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    links = _confirmed(star, reps, docs, shingle, percent)
+    component = materialise(connected_components(links), "components")
+    left = slots.join(component, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    mixed = left.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    left = materialise(left.join(mixed, "key"), "left")
+    more = _blocks(left, reps, docs, shingle, percent)
+    every = copies.unionByName(links).unionByName(more)
+    component = materialise(connected_components(every), "components")
     out = signed.select("doc_id", "n_shingles").join(component, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
