@@ -2,9 +2,9 @@
 
 Equal vectors are folded first. Distinct vectors are dealt into shards by a hash; each shard's graph is
 built in one task. Blocks of vectors then visit every shard's graph with a beam search that runs a whole
-block in lock step. A sample of every block is audited against an exact scan of the shard: the beam is
-doubled until the audited nearest neighbours and links are found, and a beam as wide as the shard is an
-exact scan. A vector whose beam fills up with links in a shard is scanned exactly there, so the size of a
+block in lock step. Two audits widen the beam: known links (nodes turned by the threshold's angle) must be
+found in every graph, and a sample of every block must get the links of an exact scan; a beam of half the
+shard's width gives way to an exact scan. A vector whose beam fills up with links in a shard is scanned exactly there, so the size of a
 group of near copies never depends on the beam. Cosines of found links are checked in double precision.
 
 Links are returned as pairs only where a vector has few in a shard; of a dense group each task returns
@@ -29,7 +29,7 @@ from codelattice.llm.common import connected_components, materialise, ship
 from codelattice.llm.vectors import as_rows, folded, matrix, usable
 
 COSINE, SHARDS, SHARD_ROWS, BLOCK_ROWS = 0.9, 6, 16_384, 2048
-DEGREE, BUILD_BEAM, BEAM, AUDIT, AUDIT_RECALL, DENSE = 16, 64, 96, 96, 0.98, 12
+DEGREE, BUILD_BEAM, BEAM, AUDIT, AUDIT_RECALL, SAMPLE, DENSE = 16, 64, 64, 512, 0.998, 64, 12
 STEP = 512
 
 
@@ -189,45 +189,52 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def links_of(graph: Graph, exact: np.ndarray, q: np.ndarray, own: np.ndarray, cosine: float) -> tuple[list[np.ndarray], int]:
+def audited_width(graph: Graph, exact: np.ndarray, cosine: float, seed: int = 3) -> int:
+    """The narrowest beam, doubling from BEAM, that finds the audited share of known links: nodes of the
+    shard are turned away by exactly the angle of ``cosine`` and sought. As wide as half the shard: scan."""
+    n, g, width = len(exact), np.random.default_rng(seed), BEAM
+    nodes = g.choice(n, min(AUDIT, n), replace=False)
+    v = exact[nodes]
+    away = g.standard_normal(v.shape)
+    away -= (away * v).sum(axis=1, keepdims=True) * v
+    long = np.sqrt((away * away).sum(axis=1, keepdims=True))
+    probe = (cosine * v + np.sqrt(1 - cosine * cosine) * away / np.where(long > 0, long, 1)).astype(np.float32)
+    while width < n // 2:
+        found = (graph.search(probe, width)[0] == nodes[:, None]).any(axis=1)
+        if found.mean() >= AUDIT_RECALL:
+            break
+        width *= 2
+    return width
+
+
+def links_of(graph: Graph, exact: np.ndarray, q: np.ndarray, own: np.ndarray, cosine: float, width: int) -> list[np.ndarray]:
     """For each query (unit vectors, doubles) the nodes with cosine >= ``cosine``, found by beams that widen
-    until the audit passes. own: the query's node in this shard or -1. Returns the width used as well."""
+    until a sample of the queries has all the links that an exact scan gives it. own: the query's node in
+    this shard or -1."""
     n, single = len(exact), q.astype(np.float32)
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
-
-    def scan(rows: np.ndarray) -> np.ndarray:
-        return q[rows] @ exact.T
-
-    sample = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
-    truth = scan(sample)
-    truth[np.arange(len(sample)), own[sample]] = np.where(own[sample] >= 0, -2, truth[np.arange(len(sample)), own[sample]])
-    nearest, width = truth.argmax(axis=1), BEAM
+    sample = np.unique(np.linspace(0, len(q) - 1, min(SAMPLE, len(q))).astype(int))
+    truth = [set(np.flatnonzero(line >= cosine).tolist()) for line in q[sample] @ exact.T]
     while width < n // 2:
-        ids, sims = [], []
-        for i in range(0, len(q), STEP):
-            a, s = graph.search(single[i : i + STEP], width)
-            ids.append(a), sims.append(s)
-        ids, sims = np.concatenate(ids), np.concatenate(sims)
-        hit = (ids[sample] == nearest[:, None]).any(axis=1)
-        found = [set(ids[r][sims[r] >= cosine - 1e-3].tolist()) for r in sample]
-        dense = (sims >= cosine - 1e-3).sum(axis=1) >= DENSE
-        complete = all(dense[r] or set(np.flatnonzero(t >= cosine).tolist()) <= f for r, t, f in zip(sample, truth, found, strict=True))
-        if hit.mean() >= AUDIT_RECALL and complete:
+        parts = [graph.search(single[i : i + STEP], width) for i in range(0, len(q), STEP)]
+        ids, sims = (np.concatenate(x) for x in zip(*parts, strict=True))
+        near = sims >= cosine - 1e-3
+        dense = near.sum(axis=1) >= DENSE
+        if all(dense[r] or t <= set(ids[r][near[r]].tolist()) for r, t in zip(sample, truth, strict=True)):
             break
         width *= 2
     else:
-        dense, ids = np.ones(len(q), bool), None
-    for i in np.flatnonzero(~dense):
-        c = ids[i][sims[i] >= cosine - 1e-3]
-        c = c[(c >= 0) & (c != own[i])].astype(np.int64)
+        dense, ids, near = np.ones(len(q), bool), np.zeros((len(q), 0), int), np.zeros((len(q), 0), bool)
+    for i in np.flatnonzero(near.any(axis=1) & ~dense):
+        c = ids[i][near[i]].astype(np.int64)
+        c = c[c != own[i]]
         out[i] = c[exact[c] @ q[i] >= cosine]
     rows = np.flatnonzero(dense)
     for i in range(0, len(rows), 256):
-        s = scan(rows[i : i + 256])
-        for r, line in zip(rows[i : i + 256], s, strict=True):
+        for r, line in zip(rows[i : i + 256], q[rows[i : i + 256]] @ exact.T, strict=True):
             c = np.flatnonzero(line >= cosine)
             out[r] = c[c != own[r]]
-    return out, width
+    return out
 
 
 # ------------------------------------------------------------------ Spark
@@ -265,13 +272,14 @@ def _visit(cosine: float):
                         tables.append(np.frombuffer(blob, "<i4", len(ids) * int(d), at).reshape(len(ids), int(d)))
                         at += 4 * len(ids) * int(d)
                     here, graph = shard, Graph(x.astype(np.float32), tables, int(head[1]))
+                    width = audited_width(graph, x, cosine)
                     nodes, exact, copies = ids, x, np.frombuffer(r["copies"].as_buffer(), "<i8")
                     continue
                 if shard != here:
                     raise RuntimeError("a block came before its shard's graph")
                 at = np.minimum(np.searchsorted(nodes, ids), len(nodes) - 1)
                 own = np.where(nodes[at] == ids, at, -1)
-                found, _ = links_of(graph, exact, x, own, cosine)
+                found = links_of(graph, exact, x, own, cosine, width)
                 yield _report(shard, ids, nodes, copies, found)
 
     return run

@@ -1,12 +1,13 @@
 """Removal of passages that repeat across documents, by hashing sentence-like units.
 
 Passages sit inside lines, so whole lines or paragraphs would miss them. A unit here ends at a line break,
-after ``. ! ?`` before white space, and before a word that begins with a capital: rules that look only at
+after ``. ! ?`` before white space, after a word that ends in g, y, z or é (for texts with little
+punctuation), and before a word with a capital first letter: rules that look only at
 the words beside a boundary, so a passage falls into the same units wherever it is put. Units are
 normalised (lower case, white space folded), their digests are grouped globally and the earliest occurrence
 by (doc_id, text digest, position) is the original. A run of consecutive later occurrences with
 ``min_words`` words or more is removed, with the offsets of the original text retained; shorter runs
-(common sentences, short boilerplate) stay. The first and the last unit of a passage may be merged with
+(common sentences, short boilerplate) stay, and units of one or two words don't count. The first and the last unit of a passage may be merged with
 the words around it and then remain, so ``min_words`` lies under the length of the passages sought.
 
 Digests are counted with partial aggregation and only those that occur twice are joined back, so a unit
@@ -31,8 +32,10 @@ from pyspark.sql import types as T
 from codelattice.llm.common import materialise, ship
 
 MIN_WORDS = 32
+#: Units of fewer words recur by chance: they neither count nor end a run.
+TELLING = 3
 #: What lies between two units.
-BETWEEN = re.compile(r"(?<=[.!?])\s+|\s*\n\s*|\s+(?=[A-ZÀ-ÖØ-Þ])")
+BETWEEN = re.compile(r"(?<=[.!?gyzéGYZÉ])\s+|\s*\n\s*|\s+(?=[A-ZÀ-ÖØ-Þ](?:[a-zß-öø-ÿ]|\s))")
 
 
 def units(text: str) -> Iterator[tuple[int, int, int, int]]:
@@ -78,10 +81,9 @@ def cut(text: str, later: set[int], min_words: int) -> tuple[str, list[tuple[int
 
     def close() -> None:
         nonlocal words
-        n = sum(r[2] for r in run)
-        if n >= min_words:
+        if sum(r[2] for r in run if r[2] >= TELLING) >= min_words:
             spans.append((run[0][0], run[-1][1]))
-            words += n
+            words += sum(r[2] for r in run)
         run.clear()
 
     for i, u in enumerate(units(text)):
