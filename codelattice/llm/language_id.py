@@ -54,7 +54,7 @@ def code(k: int) -> np.ndarray:
         return np.ones((k, 1))
     if k <= 7:
         n = (1 << (k - 1)) - 1
-        bits = np.array([[1] * n, *([(col + 1) >> (k - 1 - row) & 1 for col in range(n)] for row in range(1, k))])
+        bits = np.array([[1] * n, *([col >> (k - 1 - row) & 1 for col in range(n)] for row in range(1, k))])
         return bits * 2.0 - 1
     n, best, most = 10 * int(np.ceil(np.log2(k))), None, -1
     g = np.random.default_rng(5)

@@ -7,7 +7,8 @@ the words beside a boundary, so a passage falls into the same units wherever it
 normalised (lower case, white space folded), their digests are grouped globally and the earliest occurrence
 by (doc_id, text digest, position) is the original. A run of consecutive later occurrences with
 ``min_words`` words or more is removed, with the offsets of the original text retained; shorter runs
-(common sentences, short boilerplate) stay, and units of one or two words don't count. The first and the last unit of a passage may be merged with
+(common sentences, short boilerplate) stay. Units of one or two words aren't compared: inside a run they
+go with it. The first and the last unit of a passage may be merged with
 the words around it and then remain, so ``min_words`` lies under the length of the passages sought.
 
 Digests are counted with partial aggregation and only those that occur twice are joined back, so a unit
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 from codelattice.llm.common import materialise, ship
 
 MIN_WORDS = 32
-#: Units of fewer words recur by chance: they neither count nor end a run.
+#: Units of fewer words recur by chance: they are not compared, and neither count nor end a run.
 TELLING = 3
 #: What lies between two units.
 BETWEEN = re.compile(r"(?<=[.!?gyzéGYZÉ])\s+|\s*\n\s*|\s+(?=[A-ZÀ-ÖØ-Þ](?:[a-zß-öø-ÿ]|\s))")
@@ -60,12 +61,12 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, text in zip(ids, texts, strict=True):
             if not text:
                 continue
-            d = [u[3] for u in units(text)]
-            cols[0] += d
-            cols[1] += [doc_id] * len(d)
-            cols[2] += [version(text)] * len(d)
-            cols[3] += range(len(d))
-            if len(d) + len(cols[0]) > 200_000:
+            told = [(u[3], i) for i, u in enumerate(units(text)) if u[2] >= TELLING]
+            cols[0] += [d for d, _ in told]
+            cols[1] += [doc_id] * len(told)
+            cols[2] += [version(text)] * len(told)
+            cols[3] += [i for _, i in told]
+            if len(cols[0]) > 200_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
                 cols = [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
@@ -77,18 +78,24 @@ def version(text: str) -> int:
 
 def cut(text: str, later: set[int], min_words: int) -> tuple[str, list[tuple[int, int]], int]:
     """The text without its runs of units at the places ``later``; the spans removed; their words."""
-    spans, words, run = [], 0, []
+    spans, words, run, short = [], 0, [], []
 
     def close() -> None:
         nonlocal words
-        if sum(r[2] for r in run if r[2] >= TELLING) >= min_words:
+        if sum(u[2] for u in run if u[2] >= TELLING) >= min_words:
             spans.append((run[0][0], run[-1][1]))
-            words += sum(r[2] for r in run)
+            words += sum(u[2] for u in run)
         run.clear()
+        short.clear()
 
     for i, u in enumerate(units(text)):
         if i in later:
+            run.extend(short)
             run.append(u)
+            short.clear()
+        elif u[2] < TELLING:
+            if run:
+                short.append(u)
         else:
             close()
     close()
@@ -127,6 +134,7 @@ def dedup_passages(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     found = materialise(slim.mapInArrow(_units, "digest long, doc_id long, version long, place long"), "units")
     who = F.struct("doc_id", "version", "place")
     first = found.groupBy("digest").agg(F.min(who).alias("first"), F.max(who).alias("last")).where("first <> last").select("digest", "first")
+    first = materialise(first, "first")  # apart, so that a hot digest can be split in the join
     later = found.join(first, "digest").where(who != F.col("first")).select("doc_id", "version", "place")
     marks = later.groupBy("doc_id", "version").agg(F.collect_set("place").alias("places"))
     marks = marks.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("version", "places")).alias("__marks"))
