@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from codelattice.llm.common import ship
 
-MAX_DOCS, BUCKETS, RIDGE, SHARPNESS, AMBIGUOUS = 2000, 8192, 0.02, 3.0, 0.6
+MAX_DOCS, BUCKETS, RIDGE, SHARPNESS, AMBIGUOUS = 1200, 8192, 0.02, 3.0, 0.6
 LETTER = re.compile(r"[^\W\d_]")
 CHUNK = 1 << 20
 
@@ -97,7 +97,8 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str]) -> Model:
     right = np.clip((np.sign(left_out) == target).mean(axis=0), 0.5, 1 - 1e-3)
     trust = np.log(right / (1 - right))
     trust = trust / trust.sum() * len(trust) if trust.sum() > 0 else np.ones(words.shape[1])
-    return Model(languages, words, (x.T.astype(np.float64) @ dual).T.astype(np.float32), trust)
+    weights = np.concatenate([dual.T @ x[:, i : i + 1024].astype(np.float64) for i in range(0, x.shape[1], 1024)], axis=1)
+    return Model(languages, words, weights.astype(np.float32), trust)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -125,8 +126,11 @@ def train(docs: DataFrame, *, max_docs: int = MAX_DOCS) -> Model:
         part = part | ((F.col("lang") == lang) & (draw < int((1 << 20) * min(1.0, most / n)) + 1))
     rows = sorted(own.where(part).mapInArrow(_featurise, "doc_id long, lang string, x binary").collect(), key=lambda r: (r["lang"], r["doc_id"], r["x"]))
     languages = sorted({r["lang"] for r in rows})
-    x = np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32)
-    return fit(x, np.array([languages.index(r["lang"]) for r in rows]), languages)
+    y = np.array([languages.index(r["lang"]) for r in rows])
+    x = np.empty((len(rows), BUCKETS), np.float32)
+    for i in range(len(rows)):  # rows are let go one by one
+        x[i], rows[i] = np.frombuffer(rows[i]["x"], np.float16), None
+    return fit(x, y, languages)
 
 
 def _predict(model: Model):
