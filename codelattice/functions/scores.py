@@ -16,7 +16,7 @@ def scope_length(first: Column, last: Column) -> Column:
 def scope_similarity(x: Column, y: Column, least: float = 0.2) -> Column:
     """Ratio of two scope lengths, 0 where unknown or below ``least``."""
     ratio = F.least(x, y) / F.nullif(F.greatest(x, y).cast("double"), F.lit(0.0))
-    return F.when(ratio >= least, ratio).otherwise(F.lit(0.0))
+    return F.when(x.isNotNull() & y.isNotNull() & (ratio >= least), ratio).otherwise(F.lit(0.0))
 
 
 def common_prefix(x: Column, y: Column) -> Column:
@@ -31,7 +31,7 @@ def namespace(name1: Column, dir1: Column, top1: Column, name2: Column, dir2: Co
     a, b = F.split(dir1, "/"), F.split(dir2, "/")
     share = 0.2 * common_prefix(a, b) / F.greatest(F.size(a), F.size(b))
     near = lambda x, y: (x == y) & (x != "")
-    return F.when(near(name1, name2), F.lit(1.0)).when(near(dir1, dir2), F.lit(0.7)).when(near(top1, top2), F.lit(0.4)).otherwise(share)
+    return F.when(near(name1, name2), F.lit(1.0)).when(near(dir1, dir2), F.lit(0.7)).when(near(top1, top2), F.lit(0.4)).when((dir1 != "") & (dir2 != ""), share).otherwise(F.lit(0.0))
 
 
 def hybrid(dense: Column, lexical: Column, types: Column, place: Column) -> Column:

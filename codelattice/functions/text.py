@@ -64,7 +64,7 @@ def hierarchy(path: Column) -> tuple[Column, Column, Column]:
     name = F.element_at(parts, -1)
     folder = F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
     top = F.get(F.filter(parts, lambda x: ~x.isin("", ".", "..")), 0)
-    return name, folder, F.when(F.size(parts) > 1, F.coalesce(top, F.lit(""))).otherwise(F.lit(""))
+    return name, folder, F.coalesce(top, F.lit(""))
 
 
 def sanitised(s: Column) -> Column:

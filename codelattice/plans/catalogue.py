@@ -141,7 +141,7 @@ def subtokens_normalised(spark, d):
 
 
 _HIERARCHY_SQL = r"""SELECT page_id, list_last(parts) AS name, array_to_string(parts[1:len(parts)-1], '/') AS folder,
-CASE WHEN len(parts) > 1 THEN coalesce(list_filter(parts, lambda y: y NOT IN ('', '.', '..'))[1], '') ELSE '' END AS top FROM (SELECT page_id, string_split(url, '/') AS parts FROM pages)"""
+coalesce(list_filter(parts, lambda y: y NOT IN ('', '.', '..'))[1], '') AS top FROM (SELECT page_id, string_split(url, '/') AS parts FROM pages)"""
 
 
 @query(_HIERARCHY_SQL)
@@ -218,17 +218,17 @@ l1 AS (SELECT src AS s, dst AS node, pos AS rank, w AS cum FROM a WHERE pos <= 3
         out += f""", l{k} AS (SELECT s, node, row_number() OVER (PARTITION BY s ORDER BY r, p) AS rank, cum FROM (SELECT l.s, a.dst AS node, l.rank AS r, a.pos AS p, l.cum * a.w * {f}::DOUBLE AS cum,
 row_number() OVER (PARTITION BY l.s, a.dst ORDER BY l.rank, a.pos) AS k FROM l{k - 1} l JOIN a ON l.node = a.src AND a.pos <= 30 WHERE a.dst <> l.s AND (l.s, a.dst) NOT IN ({seen}) AND l.cum * a.w * {f}::DOUBLE > 1e-6) WHERE k = 1)"""
     every = " UNION ALL ".join(f"SELECT * FROM l{j}" for j in range(2, depth + 1))
-    return sql(out + f" SELECT s AS src, node AS dst, round(cum, 6) AS weight FROM ({every}) WHERE (s, node) NOT IN (SELECT src, dst FROM c)")
+    return sql(out + f" SELECT s AS src, node AS dst, round(cum, 10) AS weight FROM ({every}) WHERE (s, node) NOT IN (SELECT src, dst FROM c)")
 
 
 @query(_calls_sql(2))
 def call_expand_d2(spark, d):
-    return graph.expand_calls(T.edges(spark, d), 2).withColumn("weight", r6("weight"))
+    return graph.expand_calls(T.edges(spark, d), 2).withColumn("weight", F.round("weight", 10))
 
 
 @query(_calls_sql(3))
 def call_expand_d3(spark, d):
-    return graph.expand_calls(T.edges(spark, d), 3).withColumn("weight", r6("weight"))
+    return graph.expand_calls(T.edges(spark, d), 3).withColumn("weight", F.round("weight", 10))
 
 
 @query(
