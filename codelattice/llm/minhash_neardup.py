@@ -32,8 +32,8 @@ SHINGLE, PERCENT, PERMUTATIONS, BANDS, ROWS = 5, 80, 40, 20, 4
 #: standard deviations of an estimate from 80 values.
 SLACK = 0.25
 CHUNK = 65_536
-#: Shingles on either side of a block, about, and ids that may be broadcast (8 MB).
-BLOCK_SHINGLES, BROADCAST_IDS = 250_000, 1_000_000
+#: Shingles and documents on either side of a block, about, and ids that may be broadcast (8 MB).
+BLOCK_SHINGLES, BLOCK_DOCS, BROADCAST_IDS = 250_000, 2000, 1_000_000
 
 
 def _family(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,31 +164,48 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
+def _links(ids: list[int], comp: list[int], side: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between the components of a block."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    x, y = ([i for i, s in enumerate(side) if s == want] for want in (0, 1))
+    if not x or not y:
+        return []
+    size, group = np.array([len(s) for s in sets]), np.array(comp)
+    common = common_counts([sets[i] for i in x], [sets[i] for i in y])
+    near = (100 * common >= percent * (size[x][:, None] + size[y][None, :] - common)) & (group[x][:, None] != group[y][None, :])
+    links = []
+    for i, j in zip(*np.nonzero(near), strict=True):
+        a, b = root(comp[x[i]]), root(comp[y[j]])
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            links.append((ids[x[i]], ids[y[j]]))
+    return links
+
+
 def _compare(percent: int):
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        ids, comp, side = (table.column(c).to_numpy() for c in ("doc_id", "component", "side"))
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("s")]
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        links = []
-        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if len(x) and len(y):
-            size = np.array([len(s) for s in sets])
-            common = common_counts([sets[i] for i in x], [sets[i] for i in y])
-            near = (100 * common >= percent * (size[x][:, None] + size[y][None, :] - common)) & (comp[x][:, None] != comp[y][None, :])
-            for i, j in zip(*np.nonzero(near), strict=True):
-                a, b = root(int(comp[x[i]])), root(int(comp[y[j]]))
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    links.append((int(ids[x[i]]), int(ids[y[j]])))
+    """For rows sorted by block; one block is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, links = None, ([], [], [], []), []
+        for batch in batches:
+            blocks = zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "kind")), strict=True)
+            rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "component", "side", "s")), strict=True)
+            for block, (doc, comp, side, s) in zip(blocks, rows, strict=True):
+                if block != now:
+                    links += _links(*held, percent)
+                    now, held = block, ([], [], [], [])
+                for column, value in zip(held, (doc, comp, side, np.frombuffer(s, np.uint64)), strict=True):
+                    column.append(value)
+        links += _links(*held, percent)
         a, b = zip(*links, strict=True) if links else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
@@ -197,8 +214,10 @@ def _blocks(left: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent:
     """Links between different components of a bucket; left: key, doc_id, component."""
     sized = left.join(reps.select("doc_id", "n_shingles"), "doc_id")
     parts = sized.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
-    main = parts.groupBy("key").agg(F.max(F.struct("n", "component", "w")).alias("top"), F.sum("w").alias("all"))
-    main = main.select("key", F.col("top.component").alias("main"), F.ceil(F.col("top.w") / BLOCK_SHINGLES).alias("m"), F.greatest(F.ceil((F.col("all") - F.col("top.w")) / BLOCK_SHINGLES), F.lit(1)).alias("o"))
+    main = parts.groupBy("key").agg(F.max(F.struct("n", "component", "w")).alias("top"), F.sum("w").alias("w"), F.sum("n").alias("n"))
+    cuts = lambda w, n: F.greatest(F.ceil(w / BLOCK_SHINGLES), F.ceil(n / BLOCK_DOCS), F.lit(1))
+    main = main.select("key", F.col("top.component").alias("main"), cuts(F.col("top.w"), F.col("top.n")).alias("m"), cuts(F.col("w") - F.col("top.w"), F.col("n") - F.col("top.n")).alias("o"))
+    main = materialise(main, "main")  # apart, so that a hot bucket can be split in the join
     rows = sized.join(main, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.when(F.col("component") == F.col("main"), F.col("m")).otherwise(F.col("o"))))
     # Blocks (i, j, kind): the i-th part of the others against the j-th part of the main component, or of the others.
     def unit(i, j, kind, side):
@@ -215,7 +234,10 @@ def _blocks(left: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent:
     busy = rows.groupBy("key", "i", "j", "kind").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("side").alias("s0"), F.max("side").alias("s1"))
     rows = rows.join(busy.where("low < high and s0 < s1").select("key", "i", "j", "kind"), ["key", "i", "j", "kind"], "left_semi")
     s = _sets_of(rows.select("doc_id"), docs, k)
-    return materialise(rows.join(s, "doc_id").groupBy("key", "i", "j", "kind").applyInArrow(_compare(percent), "a long, b long"), "links")
+    block = ["key", "i", "j", "kind"]
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.join(s, "doc_id").repartition(width, *block).sortWithinPartitions(*block)
+    return materialise(rows.select(*block, "doc_id", "component", "side", "s").mapInArrow(_compare(percent), "a long, b long"), "links")
 
 
 def near_duplicates(
