@@ -93,6 +93,8 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _FOLD = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD], dtype=np.uint64)
+#: Bytes of text whose words are hashed at once.
+SPAN = 1 << 17
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -121,10 +123,17 @@ def word_hashes(text: bytes) -> np.ndarray:
     gap[1:-1] = _SPACE[a]
     turn = np.diff(gap)
     begin, end = np.flatnonzero(turn == -1), np.flatnonzero(turn == 1)
-    up, down = _power_table(len(a) + 1)
-    total = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)], out=total[1:])
-    return mix64((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    out = np.empty(len(begin), np.uint64)
+    i = 0
+    while i < len(begin):  # runs of words of about SPAN bytes, so that a long text needs no more memory
+        j = max(i + 1, int(np.searchsorted(end, begin[i] + SPAN, "right")))
+        first, b, e = begin[i], begin[i:j] - begin[i], end[i:j] - begin[i]
+        up, down = _power_table(int(e[-1]) + 1)
+        total = np.zeros(e[-1] + 1, np.uint64)
+        np.cumsum((a[first : end[j - 1]].astype(np.uint64) + np.uint64(1)) * up[: e[-1]], out=total[1:])
+        out[i:j] = mix64((total[e] - total[b]) * down[b] + (e - b).astype(np.uint64))
+        i = j
+    return out
 
 
 def shingle_set(text: bytes | None, k: int) -> np.ndarray:

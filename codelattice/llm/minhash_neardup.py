@@ -31,7 +31,7 @@ SHINGLE, PERCENT, PERMUTATIONS, BANDS, ROWS = 5, 80, 40, 20, 4
 #: Pairs whose estimated similarity is this far under the threshold are not fetched in full: over five
 #: standard deviations of an estimate from 80 values.
 SLACK = 0.25
-CHUNK = 65_536
+CHUNK = 4096
 #: Shingles and documents on either side of a block, about, and ids that may be broadcast (8 MB).
 BLOCK_SHINGLES, BLOCK_DOCS, BROADCAST_IDS = 250_000, 2000, 1_000_000
 
@@ -179,13 +179,16 @@ def _links(ids: list[int], comp: list[int], side: list[int], sets: list[np.ndarr
         return []
     size, group = np.array([len(s) for s in sets]), np.array(comp)
     common = common_counts([sets[i] for i in x], [sets[i] for i in y])
-    near = (100 * common >= percent * (size[x][:, None] + size[y][None, :] - common)) & (group[x][:, None] != group[y][None, :])
     links = []
-    for i, j in zip(*np.nonzero(near), strict=True):
-        a, b = root(comp[x[i]]), root(comp[y[j]])
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            links.append((ids[x[i]], ids[y[j]]))
+    for at in range(0, len(x), 256):  # rows at a time: the comparison's wide integers would be many times the counts
+        mine = x[at : at + 256]
+        part = common[at : at + 256].astype(np.int64)
+        near = (100 * part >= percent * (size[mine][:, None] + size[y][None, :] - part)) & (group[mine][:, None] != group[y][None, :])
+        for i, j in zip(*np.nonzero(near), strict=True):
+            a, b = root(comp[mine[i]]), root(comp[y[j]])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                links.append((ids[mine[i]], ids[y[j]]))
     return links
 
 
