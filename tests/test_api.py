@@ -73,3 +73,30 @@ def test_git(tmp_path):
     first = git.head(str(tmp_path))
     (tmp_path / "b.py").write_text("y = 2\n")
     assert git.tracked(str(tmp_path)) == ["a.py", "b.py"] and git.changed(str(tmp_path), first) == ["b.py"] and git.commit_time(str(tmp_path)) > 0
+
+
+def test_optimize_and_validate(spark, made, capsys):
+    top, run = made
+    a = run("optimize", top / "tables", "--out", top / "lean", "--min-weight", 0.6)
+    a.run(spark, a)
+    nodes, edges, types = cli._read(spark, f"{top}/lean")
+    assert 0 < nodes.count() <= cli._read(spark, f"{top}/tables")[0].count()
+    assert edges.where("weight < 0.6").count() == 0 and edges.count() > 0
+    assert types.join(nodes, types.symbol == nodes.id, "left_anti").count() == 0
+    for name in ("validate", "stats"):
+        a = run(name, top / "lean")
+        code = a.run(spark, a)
+        assert code in (0, 1, None)
+    assert "defines_in_file" in capsys.readouterr().out
+
+
+def test_retrain(spark, made):
+    top, run = made
+    src = top / "src"
+    sh = lambda *a: subprocess.run(["git", "-C", str(src), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    sh("init"), sh("add", "."), sh("commit", "-m", "one")
+    a = run("retrain", src, "--model", top / "model", "--out", top / "newer")
+    a.run(spark, a)  # the model knows no commit: all tracked files
+    newer = api.Model(spark, f"{top}/newer")
+    assert newer.commit == git.head(str(src))
+    assert newer.tables["nodes"].count() == api.Model(spark, f"{top}/model").tables["nodes"].count()
