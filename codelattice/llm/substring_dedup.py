@@ -1,20 +1,21 @@
-"""Removal of passages that repeat across documents, by hashing sentence-like units.
-
-Passages sit inside lines, so whole lines or paragraphs would miss them. A unit here ends at a line break,
-after ``. ! ?`` before white space, after a word that ends in g, y, z or é (for texts with little
-punctuation), and before a word with a capital first letter: rules that look only at
-the words beside a boundary, so a passage falls into the same units wherever it is put. Units are
-normalised (lower case, white space folded), their digests are grouped globally and the earliest occurrence
-by (doc_id, text digest, position) is the original. A run of consecutive later occurrences with
-``min_words`` words or more is removed, with the offsets of the original text retained; shorter runs
-(common sentences, short boilerplate) stay. Units of one or two words aren't compared: inside a run they
-go with it. The first and the last unit of a passage may be merged with
-the words around it and then remain, so ``min_words`` lies under the length of the passages sought.
-
-Digests are counted with partial aggregation and only those that occur twice are joined back, so a unit
-that a third of all documents share costs one row a task and a join that adaptive execution splits.
-
-Null and empty texts have no unit and come back unchanged. Rows that agree in doc_id and text are treated
+"""Removal of passages that repeat across documents, decided word by word.
+
+Words are lower-cased and parted by white space. A passage repeats where ``min_words`` words in a row (a
+window) occur before: the earliest occurrence by (doc_id, text digest, position) is the original, every
+other one is removed, so each repeated stretch of ``min_words`` words or more goes to its very ends, wherever
+it stands in a line or a sentence. The offsets of the original text are retained; shorter repeats (common
+sentences, short boilerplate) stay. One or two words of a stretch that begins in mid-sentence stay
+where a sentence or a line starts behind them: so short a lead-in recurs by chance.
+
+A hash for every window of every text would be several times the input. So texts are told in runs: the windows
+in a row that have the same anchor, the smallest hash of ``SHINGLE`` words in them (winnowing); a run starts
+about every thirteen words. Equal windows have equal anchors. A run that occurs before as a whole goes as a
+whole; windows are compared one by one only where an anchor has different runs, as at the edges of a passage,
+and only in the earliest occurrence of each such run, so nothing that repeats is missed. Runs and windows
+are counted with partial aggregation and only those that occur twice are joined back, so a passage that a third
+of all documents share costs a few rows a task and a join that adaptive execution splits.
+
+Null and empty texts have no window and come back unchanged. Rows that agree in doc_id and text are treated
 alike: they share one identity, so none of them is removed for the sake of the other. Other columns pass
 through, unless they are named spans or removed_words, which are replaced.
 """
@@ -24,52 +25,113 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codelattice.llm.common import materialise, ship
+from codelattice.llm.common import _power_table, materialise, mix64, ship, word_hashes
 
 MIN_WORDS = 32
-#: Units of fewer words recur by chance: they are not compared, and neither count nor end a run.
+#: Words of which an anchor is hashed.
+SHINGLE = 8
+#: Fewer words at the beginning of a stretch recur by chance.
 TELLING = 3
-#: What lies between two units.
-BETWEEN = re.compile(r"(?<=[.!?gyzéGYZÉ])\s+|\s*\n\s*|\s+(?=[A-ZÀ-ÖØ-Þ](?:[a-zß-öø-ÿ]|\s))")
-
-
-def units(text: str) -> Iterator[tuple[int, int, int, int]]:
-    """(start, end, words, digest) of the units of a text, in order."""
-    at = 0
-    for m in BETWEEN.finditer(text):
-        if m.start() > at:
-            words = text[at : m.start()].lower().split()
-            if words:
-                yield at, m.start(), len(words), xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63)
-        at = m.end()
-    words = text[at:].lower().split()
-    if words:
-        yield at, len(text), len(words), xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63)
-
-
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["digest", "doc_id", "version", "place"]
-    for batch in batches:
-        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-        cols: list[list[int]] = [[], [], [], []]
-        for doc_id, text in zip(ids, texts, strict=True):
-            if not text:
-                continue
-            told = [(u[3], i) for i, u in enumerate(units(text)) if u[2] >= TELLING]
-            cols[0] += [d for d, _ in told]
-            cols[1] += [doc_id] * len(told)
-            cols[2] += [version(text)] * len(told)
-            cols[3] += [i for _, i in told]
-            if len(cols[0]) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
-                cols = [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+WORD = re.compile(r"\S+")
+#: Where a sentence or a line starts, seen from the white space before it.
+STARTS = re.compile(r"(?<=[.!?])\s+|\s*\n\s*|\s+(?=[A-ZÀ-ÖØ-Þ])")
+
+
+class Windows:
+    """The windows of a text: their digests, and the runs of windows that have the same anchor."""
+
+    __slots__ = ("anchors", "down", "starts", "total", "width")
+
+    def __init__(self, text: str | None, min_words: int = MIN_WORDS):
+        w = word_hashes(" ".join(text.lower().split()).encode()) if text else np.zeros(0, np.uint64)
+        self.width, n = min_words, len(w) - min_words + 1
+        up, self.down = _power_table(len(w) + 1)
+        self.total = np.zeros(len(w) + 1, np.uint64)
+        np.cumsum(w * up[: len(w)], out=self.total[1:])
+        self.starts = np.zeros(1, np.int64)  # and behind them the number of windows
+        self.anchors = np.zeros(0, np.int64)
+        if n > 0:
+            k = min(SHINGLE, min_words)
+            at = np.arange(len(w) - k + 1)
+            low, size, wide = self.hashes(at, at + k), 1, min_words - k + 1
+            while size < wide:
+                step = min(size, wide - size)
+                low, size = np.minimum(low[:-step], low[step:]), size + step
+            self.starts = np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1, [n]])
+            self.anchors = low[self.starts[:-1]]
+
+    def hashes(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the words from begin to end."""
+        return mix64((self.total[end] - self.total[begin]) * self.down[begin] + (end - begin).astype(np.uint64)).view(np.int64)
+
+    def digests(self) -> np.ndarray:
+        at = np.arange(self.starts[-1])
+        return self.hashes(at, at + self.width)
+
+    def runs(self) -> np.ndarray:
+        return self.hashes(self.starts[:-1], self.starts[1:] + (self.width - 1))
+
+
+def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int, int]]:
+    """(start, end, words, digest) of the windows of a text, in order."""
+    at = [m.span() for m in WORD.finditer(text)]
+    for n, digest in enumerate(Windows(text, min_words).digests().tolist()):
+        yield at[n][0], at[n + min_words - 1][1], min_words, digest
+
+
+def _rows(batch: pa.RecordBatch, parts: list[tuple], names: list[str]) -> pa.RecordBatch:
+    """parts: row of the batch, version, and the other columns."""
+    sizes = [len(p[2]) for p in parts]
+    ids = batch.column("doc_id").take(pa.array(np.repeat(np.array([p[0] for p in parts], np.int64), sizes)))
+    versions = np.repeat(np.array([p[1] for p in parts], np.int64), sizes)
+    more = [pa.array(np.concatenate([np.zeros(0, np.int64), *(p[i] for p in parts)])) for i in range(2, len(names))]
+    return pa.RecordBatch.from_arrays([ids, pa.array(versions), *more], names)
+
+
+def _runs(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                t = Windows(text, min_words)
+                if not len(t.anchors):
+                    continue
+                inner = np.zeros(len(t.anchors), np.int64)
+                found = t.digests()
+                ranked = np.sort(found)
+                if (ranked[1:] == ranked[:-1]).any():  # windows that repeat inside the text, perhaps in one run
+                    order = np.argsort(found, kind="stable")
+                    same = np.flatnonzero(found[order][1:] == found[order][:-1])
+                    inside = np.searchsorted(t.starts, order, "right") - 1  # the run of each window
+                    inner[inside[same][inside[same] == inside[same + 1]]] = 1
+                parts.append((row, version(text), t.starts[:-1], np.diff(t.starts), t.anchors, t.runs(), inner))
+            yield _rows(batch, parts, ["doc_id", "version", "place", "n", "anchor", "run", "inner"])
+
+    return run
+
+
+def _windows(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for row, (text, picks) in enumerate(zip(batch.column("text").to_pylist(), batch.column("picks").to_pylist(), strict=True)):
+                picked = {p["version"]: p["places"] for p in picks}.get(version(text)) if text else None
+                if picked is None:
+                    continue
+                t = Windows(text, min_words)
+                wanted = np.isin(t.starts[:-1], np.array(picked, np.int64))
+                places = np.flatnonzero(np.repeat(wanted, np.diff(t.starts)))
+                parts.append((row, version(text), places, t.hashes(places, places + min_words)))
+            yield _rows(batch, parts, ["doc_id", "version", "place", "digest"])
+
+    return run
 
 
 def version(text: str) -> int:
@@ -77,34 +139,28 @@ def version(text: str) -> int:
 
 
 def cut(text: str, later: set[int], min_words: int) -> tuple[str, list[tuple[int, int]], int]:
-    """The text without its runs of units at the places ``later``; the spans removed; their words."""
-    spans, words, run, short = [], 0, [], []
-
-    def close() -> None:
-        nonlocal words
-        if sum(u[2] for u in run if u[2] >= TELLING) >= min_words:
-            spans.append((run[0][0], run[-1][1]))
-            words += sum(u[2] for u in run)
-        run.clear()
-        short.clear()
-
-    for i, u in enumerate(units(text)):
-        if i in later:
-            run.extend(short)
-            run.append(u)
-            short.clear()
-        elif u[2] < TELLING:
-            if run:
-                short.append(u)
+    """The text without its windows at the places ``later``; the spans removed; their words."""
+    if not later:
+        return text, [], 0
+    at = [m.span() for m in WORD.finditer(text)]
+    runs: list[list[int]] = []  # first word, word after the last
+    for n in sorted(later):
+        if runs and n <= runs[-1][1]:
+            runs[-1][1] = n + min_words
         else:
-            close()
-    close()
-    kept, at = [], 0
+            runs.append([n, n + min_words])
+
+    def starts(n: int) -> bool:
+        return n == 0 or STARTS.match(text, at[n - 1][1]) is not None
+
+    for run in runs:
+        if not starts(run[0]):
+            run[0] = next((n for n in range(run[0] + 1, min(run[0] + TELLING, run[1])) if starts(n)), run[0])
+    spans, kept, done = [(at[i][0], at[j - 1][1]) for i, j in runs], [], 0
     for a, b in spans:
-        kept.append(text[at:a])
-        at = b
-    kept.append(text[at:])
-    return "".join(kept) if spans else text, spans, words
+        kept.append(text[done:a])
+        done = b
+    return "".join([*kept, text[done:]]), spans, sum(j - i for i, j in runs)
 
 
 def _cutter(min_words: int, names: list[str]):
@@ -115,7 +171,7 @@ def _cutter(min_words: int, names: list[str]):
             texts, spans, words = [], [], []
             for text, marks in zip(batch.column("text").to_pylist(), batch.column("__marks").to_pylist(), strict=True):
                 later = {m["version"]: m["places"] for m in marks}.get(version(text)) if marks and text else None
-                t, s, w = cut(text, set(later), min_words) if later else (text, [], 0)
+                t, s, w = cut(text, {p for m in later for p in range(m["place"], m["place"] + m["n"])}, min_words) if later else (text, [], 0)
                 texts.append(t)
                 spans.append([{"start": a, "end": b} for a, b in s])
                 words.append(w)
@@ -125,19 +181,42 @@ def _cutter(min_words: int, names: list[str]):
     return run
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """materialise, and what the plan shuffled for it goes at once."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return materialise(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def dedup_passages(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` (doc_id, text, ...) with repeated passages cut out of text, and the columns
     spans (array of start, end in code points of the original text) and removed_words."""
     ship(docs.sparkSession)
     docs = docs.drop("spans", "removed_words")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = materialise(slim.mapInArrow(_units, "digest long, doc_id long, version long, place long"), "units")
     who = F.struct("doc_id", "version", "place")
-    first = found.groupBy("digest").agg(F.min(who).alias("first"), F.max(who).alias("last")).where("first <> last").select("digest", "first")
-    first = materialise(first, "first")  # apart, so that a hot digest can be split in the join
-    later = found.join(first, "digest").where(who != F.col("first")).select("doc_id", "version", "place")
-    marks = later.groupBy("doc_id", "version").agg(F.collect_set("place").alias("places"))
-    marks = marks.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("version", "places")).alias("__marks"))
-    joined = docs.join(marks, docs["doc_id"].cast("long") == F.col("__id"), "left").drop("__id")
+
+    def by_document(places: DataFrame, value, name: str) -> DataFrame:
+        places = places.groupBy("doc_id", "version").agg(F.collect_set(value).alias("places"))
+        return places.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("version", "places")).alias(name))
+
+    runs = written(slim.mapInArrow(_runs(min_words), "doc_id long, version long, place long, n long, anchor long, run long, inner long"), "runs")
+    kinds = written(runs.groupBy("anchor", "run").agg(F.min(who).alias("first"), F.max(who).alias("last"), F.max("inner").alias("inner")), "kinds")
+    # Tables of what is joined back stand apart, so that a hot key can be split in the join.
+    mixed = written(kinds.groupBy("anchor").agg((F.count("*") + F.max("inner")).alias("n")).where("n > 1").select("anchor"), "mixed")
+    picks = by_document(kinds.join(mixed, "anchor").select("first.*"), F.col("place"), "picks")
+    looked = slim.join(picks, slim["doc_id"].eqNullSafe(F.col("__id"))).select("doc_id", "text", "picks")
+    found = written(looked.mapInArrow(_windows(min_words), "doc_id long, version long, place long, digest long"), "windows")
+    first = found.groupBy("digest").agg(F.min(who).alias("first"), F.max(who).alias("last")).where("not first <=> last").select("digest", "first")
+    first = written(first, "first")
+    again = written(kinds.where("not first <=> last").select("run", "first", "anchor"), "again")
+    later = runs.join(again, ["anchor", "run"]).where(~who.eqNullSafe(F.col("first"))).select("doc_id", "version", "place", "n")
+    later = later.unionByName(found.join(first, "digest").where(~who.eqNullSafe(F.col("first"))).select("doc_id", "version", "place", F.lit(1).cast("long").alias("n")))
+    marks = written(by_document(later, F.struct("place", "n"), "__marks"), "marks")
+    joined = docs.join(marks, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left").drop("__id")
     added = [T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))), T.StructField("removed_words", T.LongType())]
     return joined.mapInArrow(_cutter(min_words, docs.columns), T.StructType([*docs.schema.fields, *added]))

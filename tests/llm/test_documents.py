@@ -171,6 +171,30 @@ def test_passages_against_brute_force(spark, sf):
         assert (r.text, [(s.start, s.end) for s in r.spans], r.removed_words) == want[r.doc_id]
 
 
+def test_passages_are_cut_to_their_words(spark):
+    """Against word-level brute force without units(): passages of 51 to 69 words in mid-sentence, few capitals, also twice in one text."""
+    g, width = np.random.default_rng(7), substring_dedup.MIN_WORDS
+    vocabulary = ["".join(g.choice(list("abcdefilmnorstu"), g.integers(1, 7))) for _ in range(400)]
+
+    def some(n):
+        return list(g.choice(vocabulary, n))
+
+    passages = [some(int(n)) for n in g.integers(51, 70, 20)]
+    rows = [(i, " ".join(some(int(g.integers(5, 90))) + passages[i % 20] + some(int(g.integers(0, 90))) + passages[i * 7 % 20] + some(3))) for i in range(60)]
+    rows += [(70, "ten words that make a line of a refrain here\n" * 9), (None, rows[0][1]), (71, "Ha " * 40), (72, " ".join(some(width - 1)))]
+    seen, want = {}, {}
+    for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
+        words, gone = text.lower().split(), set()
+        for n in range(len(words) - width + 1):
+            if seen.setdefault(tuple(words[n : n + width]), (i, n)) != (i, n):
+                gone.update(range(n, n + width))
+        want[i] = [w for n, w in enumerate(text.split()) if n not in gone]
+    out = substring_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text.split() for r in out} == want
+    assert all(r.removed_words == len(dict(rows)[r.doc_id].split()) - len(want[r.doc_id]) for r in out)
+    assert want[0] == [] and sum(r.removed_words > 100 for r in out) > 30
+
+
 def test_passages_of_odd_rows(spark):
     out = substring_dedup.dedup_passages(odd(spark))
     rows = out.collect()
