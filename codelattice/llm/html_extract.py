@@ -39,6 +39,8 @@ RAW = frozenset("script style title textarea iframe noscript xmp noembed noframe
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table tbody thead tfoot", "td": "tr", "th": "tr", "option": "select", "tbody": "table", "thead": "table", "tfoot": "table"}
+#: Elements that the end of an inline element around them closes too.
+UNCLOSED = INLINE | SIBLINGS.keys() | {"p"}
 DROP = frozenset("aside button canvas dialog footer form head header menu nav object search select svg".split())
 NAMED = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|promo|promoted|related|replies|respond|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-]|\d)",
@@ -115,6 +117,13 @@ class Page:
             tag, attributes = tag.lower(), m[3] if m[2] else m[6]
             if m[1] or m[4]:
                 if tag in INLINE:
+                    for i in range(len(stack) - 1, -1, -1):
+                        if stack[i][0] == tag:
+                            flush()
+                            close_to(tag)
+                            break
+                        if stack[i][0] not in UNCLOSED:
+                            break
                     continue
                 flush()
                 close_to(tag)
@@ -129,7 +138,8 @@ class Page:
             if tag == "br":
                 text.append(" ")
                 continue
-            if tag in INLINE and not (attributes and dropped(tag, attributes)):
+            # Inline elements count only where they are rejected, and in a rejected one of their name, whose end isn't theirs.
+            if tag in INLINE and not (attributes and dropped(tag, attributes)) and not any(x[0] == tag for x in stack):
                 continue
             if tag in VOID:
                 if tag == "hr":

@@ -58,6 +58,16 @@ def test_what_is_no_article_goes():
     assert text("<article><p title=\"open>x</p></article>") == "x"
 
 
+def test_rejected_inline_elements_end():
+    assert text('<body><a class="skip" href="#main">Skip</a><article><p>one</p></article></body>') == "one"
+    assert text('<article><span class="ad">x</span><p>one</p><p>two</p></article>') == "one\ntwo"
+    assert text('<article><p>one <span class="ad">buy <b>it</b> <span>now</span> or never</span> two</p><p>three</p></article>') == "one\ntwo\nthree"
+    assert text('<article><p>one <a class="promo">x</p><p>two</a> three</p></article>') == "one\ntwo three"
+    assert text('<article><a class="ad"><p>x</a><p>one</p></article>') == "one"
+    with_advert, plain = (Page(f"<div><p>{x}a</p><p>b</p></div>") for x in ('<span class="ad">x</span>', ""))
+    assert with_advert.subtrees() & plain.subtrees()
+
+
 def test_templates_of_a_host_go(spark):
     def page(i, host):
         return (i, f"http://{host}/p{i}", f"<div><p>Welcome to our site</p><span>every page</span></div><div><p>Story {i} of its own</p></div><p>Tail {i % 3}</p>")
