@@ -4,7 +4,8 @@ Pages are parsed into elements. Every element's subtree is hashed (tag and conte
 per host in Spark, once a page, and those that recur on at least ``share`` of a host's pages (``min_pages``
 pages at least) are deleted, article roots excepted. What else is not article text goes by markup:
 navigation, headers, footers, sidebars, forms, scripts, styles, and elements whose class, id or role names
-a notice, an advert, a menu or reader comments. Where a page has article elements (else a main element),
+a notice, an advert, a menu or reader comments (whole tokens, as in cookie-notice, but not has-sidebar). A
+wrapper so named that holds the page's article or main stays. Where a page has article elements (else a main element),
 only what stands in them counts.
 
 Recurring subtrees of a host number at most 1/share times the mean count of subtrees of its pages. They
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,31 +44,35 @@ SIBLINGS = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table tbody thead
 #: Elements that the end of an inline element around them closes too.
 UNCLOSED = INLINE | SIBLINGS.keys() | {"p"}
 DROP = frozenset("aside button canvas dialog footer form head header menu nav object search select svg".split())
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|promo|promoted|related|replies|respond|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-]|\d)",
-    re.IGNORECASE,
-)
-MARK = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+#: Words that name what is none of the article; those of OTHERS hold articles of their own, not the page's.
+OTHERS = "ad|ads|adv|advert|adverts|advertisement|advertising|comments?|commentlist|disqus|promo|promoted|related|replies|respond|sponsor|sponsored|widget"
+NAMES = f"{OTHERS}|banner|breadcrumbs?|consent|cookies?|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|share|sharing|sidebar|signup|skip|social|subscribe|toolbar"
+#: Words that may stand beside them in a name.
+BESIDE = "area|bar|block|bottom|box|button|buttons|container|form|global|icons|inner|item|left|link|links|list|main|message|mobile|overlay|page|policy|posts|primary|right|secondary|section|site|slot|top|unit|wrap|wrapper"
+NAMED, FOREIGN = (re.compile(rf"(?:(?:{BESIDE})[_-]+)*(?:{names})\d*(?:[_-]+(?:{NAMES}|{BESIDE}|\d+)\d*)*", re.IGNORECASE) for names in (NAMES, OTHERS))
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)(?:"|$)|'([^']*)(?:'|$)|([^\s>]+)))?""")
 ROLES = frozenset("banner navigation complementary contentinfo search form menu menubar toolbar dialog alertdialog alert".split())
 
 
-def dropped(tag: str, attributes: str) -> bool:
-    """Whether an element is none of the article, by its own markup."""
+def dropped(tag: str, attributes: str) -> int:
+    """Whether an element is none of the article, by its own markup: 0 no, 1 unless it holds the page's article, 2 yes."""
     if tag in DROP:
-        return True
+        return 1 if tag in ("form", "header") else 2
     if not attributes or tag in ("html", "body"):
-        return False
-    for name, value in MARK.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
+        return 0
+    bad = 0
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            if NAMED.search(value):
-                return True
+            for token in value.split():
+                if NAMED.fullmatch(token):
+                    bad = max(bad, 2 if FOREIGN.fullmatch(token) else 1)
         elif name == "role":
             if value.lower() in ROLES:
-                return True
+                bad = max(bad, 1)
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+            bad = max(bad, 1)
+    return bad
 
 
 class Page:
@@ -78,8 +84,12 @@ class Page:
         self.blocks: list[tuple[str, tuple[int, ...], bool, int]] = []  # text, elements, kept by markup, root
         self.digests: list[int] = []
         self.tags: list[str] = []
-        stack: list[tuple[str, int, list, bool, int]] = []  # tag, number, children, dropped, root (2 article, 1 main)
+        stack: list[tuple[str, int, list]] = []  # tag, number, children
+        above: list[int] = []  # each element's parent, or -1
+        bad: list[int] = []  # each element's dropped()
+        found: list[tuple[str, tuple[int, ...]]] = []
         text: list[str] = []
+        opened: Counter[str] = Counter()  # inline elements on the stack
         tops: list = []
 
         def flush() -> None:
@@ -88,10 +98,12 @@ class Page:
                 text.clear()
                 if line:
                     (stack[-1][2] if stack else tops).append(line)
-                    self.blocks.append((line, tuple(x[1] for x in stack), not (stack and stack[-1][3]), stack[-1][4] if stack else 0))
+                    found.append((line, tuple(x[1] for x in stack)))
 
         def close() -> None:
-            tag, number, children, _, _ = stack.pop()
+            tag, number, children = stack.pop()
+            if tag in INLINE:
+                opened[tag] -= 1
             d = xxhash.xxh64_intdigest(f"{tag}\x00" + "\x01".join(map(str, children))) - (1 << 63) if children else 0
             self.digests[number] = d
             if children:
@@ -117,7 +129,7 @@ class Page:
             tag, attributes = tag.lower(), m[3] if m[2] else m[6]
             if m[1] or m[4]:
                 if tag in INLINE:
-                    for i in range(len(stack) - 1, -1, -1):
+                    for i in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                         if stack[i][0] == tag:
                             flush()
                             close_to(tag)
@@ -139,7 +151,7 @@ class Page:
                 text.append(" ")
                 continue
             # Inline elements count only where they are rejected, and in a rejected one of their name, whose end isn't theirs.
-            if tag in INLINE and not (attributes and dropped(tag, attributes)) and not any(x[0] == tag for x in stack):
+            if tag in INLINE and not (attributes and dropped(tag, attributes)) and not opened[tag]:
                 continue
             if tag in VOID:
                 if tag == "hr":
@@ -150,16 +162,38 @@ class Page:
                 close_to("p", ("article", "div", "section", "td", "th", "li", "body", "blockquote", "main"))
             if tag in SIBLINGS:
                 close_to(tag, tuple(SIBLINGS[tag].split()))
-            above = stack[-1] if stack else ("", -1, [], False, 0)
-            bad = above[3] or dropped(tag, attributes)
-            root = max(above[4], 0 if bad else {"article": 2, "main": 1}.get(tag, 0))
-            stack.append((tag, len(self.digests), [], bad, root))
+            if tag in INLINE:
+                opened[tag] += 1
+            above.append(stack[-1][1] if stack else -1)
+            bad.append(dropped(tag, attributes))
+            stack.append((tag, len(self.digests), []))
             self.digests.append(0)
             self.tags.append(tag)
         text.append(source[at:])
         flush()
         while stack:
             close()
+        self._judge(found, above, bad)
+
+    def _judge(self, found: list[tuple[str, tuple[int, ...]]], above: list[int], bad: list[int]) -> None:
+        """Sets blocks. What was named like a part of the template stays if it holds main, or article where none stands elsewhere."""
+        worst: list[int] = []  # of each element and those around it
+        for up, own in zip(above, bad, strict=True):
+            worst.append(max(own, worst[up] if up >= 0 else 0))
+        roots = [n for n, t in enumerate(self.tags) if t in ("article", "main") and not bad[n]]
+        clean, lifted = any(not worst[n] and self.tags[n] == "article" for n in roots), set()
+        for n in roots:
+            if worst[n] == 1 and (self.tags[n] == "main" or not clean):
+                up = above[n]
+                while up >= 0 and up not in lifted:
+                    lifted.add(up)
+                    up = above[up]
+        gone, root = [], []
+        for n, (up, tag) in enumerate(zip(above, self.tags, strict=True)):
+            gone.append(bad[n] == 2 or bad[n] == 1 and n not in lifted or up >= 0 and gone[up])
+            root.append(max(root[up] if up >= 0 else 0, 0 if gone[n] else {"article": 2, "main": 1}.get(tag, 0)))
+        for line, chain in found:
+            self.blocks.append((line, chain, not (chain and gone[chain[-1]]), root[chain[-1]] if chain else 0))
 
     def subtrees(self) -> set[int]:
         """Digests of the elements that have contents and aren't roots of the page or of an article."""

@@ -68,6 +68,23 @@ def test_rejected_inline_elements_end():
     assert with_advert.subtrees() & plain.subtrees()
 
 
+def test_attributes_are_told_by_name():
+    for mark in ('title="a hidden gem"', 'data-id="ad-1"', "title='id=ad'", "data-role=banner", 'class="has-sidebar"', 'class="content-sidebar-wrap"', "data-hidden"):
+        assert text(f"<article><p>one</p><section {mark}><p>two</p></section></article>") == "one\ntwo", mark
+    assert text('<article><p>to <a href="/hidden-falls">the falls</a> and <a href="/p?id=ad">on</a></p><p>two</p></article>') == "to the falls and on\ntwo"
+    for mark in ("hidden", 'HIDDEN=""', 'class="x cookie-notice"', "id=ad-1", 'class="site-header"', "role='banner'", 'style="display: none"', 'aria-hidden="true"'):
+        assert text(f"<article><p>one</p><section {mark}><p>two</p></section></article>") == "one", mark
+
+
+def test_wrappers_of_the_article_stay():
+    assert text('<body><div class="sidebar"><article><p>one</p></article></div></body>') == "one"
+    assert text('<body><div id="page-header"><main><p>one</p></main></div><p>two</p></body>') == "one"
+    assert text('<body><article><p>one</p></article><div class="sidebar"><article><p>teaser</p></article></div></body>') == "one"
+    assert text('<body><form id="all"><div hidden><main><p>one</p></main></div><form>ask</form></form></body>') == "one"
+    assert text('<body><p>one</p><div class="comments"><article><p>nice</p></article></div></body>') == "one"
+    assert text('<body><main><p>one</p><div class="related"><article><p>teaser</p></article></div></main></body>') == "one"
+
+
 def test_templates_of_a_host_go(spark):
     def page(i, host):
         return (i, f"http://{host}/p{i}", f"<div><p>Welcome to our site</p><span>every page</span></div><div><p>Story {i} of its own</p></div><p>Tail {i % 3}</p>")
