@@ -38,6 +38,7 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]
 #: Element names with a meaning of their own.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea iframe noscript xmp noembed noframes template".split())
+ENDS = {tag: re.compile(f"</{tag}", re.IGNORECASE | re.ASCII) for tag in RAW}
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table tbody thead tfoot", "td": "tr", "th": "tr", "option": "select", "tbody": "table", "thead": "table", "tfoot": "table"}
@@ -118,7 +119,7 @@ class Page:
                 if stack[i][0] in limits:
                     return
 
-        at, lower = 0, None
+        at = 0
         for m in iter(lambda: TOKEN.search(source, at), None):
             if m.start() > at:
                 text.append(source[at : m.start()])
@@ -143,9 +144,8 @@ class Page:
             if tag in RAW:
                 if tag not in ("title", "textarea"):
                     flush()
-                lower = source.lower() if lower is None or len(lower) != len(source) else lower
-                end = lower.find(f"</{tag}", at) if len(lower) == len(source) else source.find(f"</{tag}", at)
-                at = len(source) if end < 0 else end
+                end = ENDS[tag].search(source, at)
+                at = end.start() if end else len(source)
                 continue
             if tag == "br":
                 text.append(" ")

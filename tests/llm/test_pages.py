@@ -85,6 +85,10 @@ def test_wrappers_of_the_article_stay():
     assert text('<body><main><p>one</p><div class="related"><article><p>teaser</p></article></div></main></body>') == "one"
 
 
+def test_ends_of_scripts_where_lower_case_is_longer():
+    assert text("<TITLE>İstanbul</TITLE><SCRIPT>var a</SCRIPT><p>İ one</p><style>p{}</STYLE><p>two</p>") == "İ one\ntwo"
+
+
 def test_templates_of_a_host_go(spark):
     def page(i, host):
         return (i, f"http://{host}/p{i}", f"<div><p>Welcome to our site</p><span>every page</span></div><div><p>Story {i} of its own</p></div><p>Tail {i % 3}</p>")
