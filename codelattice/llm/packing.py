@@ -1,15 +1,18 @@
 """Packing of documents into sequences by hierarchical tiers.
 
 A document's ids (and a closing id 0) are cut into full windows of ``context`` ids and a remainder. Each
-remainder is routed to the tier of the smallest power of two that holds it. Windows are opened from the
-longest tier down and their gaps are filled from the tiers below, the longest remainder that fits first;
-when nothing fits any more, the next remainder is cut to close the window exactly. What is left at the end
-of a task is closed by sequences whose lengths are powers of two, so that only they are shorter than
-``context`` and none of them is padded. Sequences are dealt into step groups of equal size per tier.
-
-Everything happens in the task that reads the documents: no shuffle, no state beyond a buffer of
-``buffer`` remainders, and sequence ids made of the partition's number and a counter, so a task that is
-run again makes the same sequences. Null texts are empty (one id, the closing 0). Repeated rows are packed
+remainder is routed to the tier of the smallest power of two that holds it; a tier's windows are as long as that.
+Windows are opened from the longest tier down and their gaps are filled from the tiers below, the longest
+remainder that fits first; when nothing fits any more, the shortest remainder is cut to close the window exactly,
+and its rest is routed anew. Where less is left at the end of a task than the window takes, the window is
+the largest power of two that can be filled, so that no sequence is padded.
+
+A step group holds sequences of one tier, ``step_tokens`` ids at most. Each tier's sequences are counted over all
+tasks and dealt in turn to as few groups as hold them: the groups of a tier differ by one sequence at most.
+
+Packing happens in the task that reads the documents: no state beyond a buffer of ``buffer`` remainders, and
+sequence ids made of the partition's number and a counter. The pieces are written; only the counts of sequences by
+task and tier are shuffled and joined back. Null texts are empty (one id, the closing 0). Repeated rows are packed
 each for itself. Other columns are not read.
 
 Ids are those of the ``tokenizers`` file named by ``vocabulary``. Texts whose characters all lie in
@@ -22,15 +25,16 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import ship
+from codelattice.llm.common import materialise, ship
 
 CONTEXT, BUFFER, STEP_TOKENS = 1024, 4096, 65_536
 #: Characters on which the two libraries are known to split alike.
@@ -76,92 +80,91 @@ class Packer:
 
     def __init__(self, context: int, buffer: int, first: int):
         self.context, self.buffer, self.next = context, buffer, first
-        self.waiting: list[tuple[int, int]] = []  # (length, index in self.held), sorted
+        self.waiting: list[list[tuple[int, int]]] = [[] for _ in range(context.bit_length())]  # by tier: (length, index in self.held), sorted
+        self.left = 0  # ids that wait
+        self.closed: Counter[int] = Counter()  # sequences by length
         self.held: dict[int, tuple] = {}
         self.count = 0
         self.rows: list[tuple] = []
 
-    def put(self, piece: tuple, sequence: int, offset: int, room: int) -> None:
+    def put(self, piece: tuple, offset: int, room: int) -> None:
         doc, start, ids, total = piece
-        self.rows.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, sequence, offset, room))
+        self.rows.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, self.next, offset, room, self.closed[room]))
+
+    def close(self, room: int) -> None:
+        self.next += 1
+        self.closed[room] += 1
 
     def add(self, doc: int, ids: np.ndarray) -> None:
         total, c = len(ids), self.context
         whole = total // c * c
         for at in range(0, whole, c):
-            self.put((doc, at, ids[at : at + c], total), self.next, 0, c)
-            self.next += 1
+            self.put((doc, at, ids[at : at + c], total), 0, c)
+            self.close(c)
         if whole < total:
             self.keep((doc, whole, ids[whole:], total))
-            if len(self.waiting) >= self.buffer:
+            if len(self.held) >= self.buffer:
                 self.drain(self.buffer // 2)
 
     def keep(self, piece: tuple) -> None:
+        n = len(piece[2])
         self.held[self.count] = piece
-        insort(self.waiting, (len(piece[2]), self.count))
+        insort(self.waiting[(n - 1).bit_length()], (n, self.count))
+        self.left += n
         self.count += 1
 
-    def take(self, i: int) -> tuple:
-        return self.held.pop(self.waiting.pop(i)[1])
+    def take(self, tier: int, i: int) -> tuple:
+        n, index = self.waiting[tier].pop(i)
+        self.left -= n
+        return self.held.pop(index)
+
+    def fitting(self, room: int) -> tuple | None:
+        """The longest remainder of at most ``room`` ids."""
+        for tier in range((room - 1).bit_length(), -1, -1):
+            i = bisect_right(self.waiting[tier], (room, self.count)) - 1
+            if i >= 0:
+                return self.take(tier, i)
+        return None
 
     def drain(self, leave: int) -> None:
-        """Close windows until ``leave`` remainders wait; only full windows are closed."""
-        while len(self.waiting) > leave:
-            if sum(n for n, _ in self.waiting[-8:]) < self.context and sum(n for n, _ in self.waiting) < self.context:
-                return
-            at = 0
-            while at < self.context:
-                room = self.context - at
-                i = bisect_right(self.waiting, (room, self.count)) - 1
-                if i >= 0:
-                    piece = self.take(i)
-                else:  # nothing fits: cut the shortest that waits
-                    doc, start, ids, total = self.take(0)
+        """Close windows, those of the longest tier first, until ``leave`` remainders wait."""
+        while len(self.held) > leave:
+            longest = max(tier for tier, those in enumerate(self.waiting) if those)
+            size, at = min(1 << longest, 1 << (self.left.bit_length() - 1)), 0
+            while at < size:
+                room = size - at
+                piece = self.fitting(room)
+                if piece is None:  # nothing fits: cut the shortest that waits
+                    doc, start, ids, total = self.take(min(tier for tier, those in enumerate(self.waiting) if those), 0)
                     self.keep((doc, start + room, ids[room:], total))
                     piece = (doc, start, ids[:room], total)
-                self.put(piece, self.next, at, self.context)
+                self.put(piece, at, size)
                 at += len(piece[2])
-            self.next += 1
+            self.close(size)
 
     def finish(self) -> None:
         self.drain(0)
-        # Fewer than one window is left: close it in sequences that are powers of two.
-        left = sum(n for n, _ in self.waiting)
-        while left:
-            size, at = 1 << (left.bit_length() - 1), 0
-            while at < size:
-                doc, start, ids, total = self.take(len(self.waiting) - 1)
-                room = size - at
-                if len(ids) > room:
-                    self.keep((doc, start + room, ids[room:], total))
-                    ids = ids[:room]
-                self.put((doc, start, ids, total), self.next, at, size)
-                at += len(ids)
-            self.next += 1
-            left -= size
 
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step_group long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, nth long, task long"
 
 
-def _packing(context: int, buffer: int, step_tokens: int, vocabulary: str):
-    def table(packer: Packer, base: int) -> pa.RecordBatch:
+def _packing(context: int, buffer: int, vocabulary: str):
+    def table(packer: Packer, task: int) -> pa.RecordBatch:
         rows, packer.rows = packer.rows, []
-        cols = [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 8)]
-        # As many sequences to a step group as full windows hold step_tokens.
-        group = base + (cols[5].to_numpy() - base) * context // step_tokens
-        return pa.RecordBatch.from_arrays([*cols, pa.array(group, pa.int64())], [x.split()[0] for x in SCHEMA.split(", ")])
+        cols = [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 9)]
+        return pa.RecordBatch.from_arrays([*cols, pa.array([task] * len(rows), pa.int64())], [x.split()[0] for x in SCHEMA.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 33
-        packer, enc = Packer(context, buffer, base), encoder(vocabulary)
+        task = TaskContext.get().partitionId()
+        packer, enc = Packer(context, buffer, task << 33), encoder(vocabulary)
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 packer.add(doc, np.array([*enc.ids(text.as_py()), 0], dtype="<u4"))
                 if len(packer.rows) > 50_000:
-                    yield table(packer, base)
+                    yield table(packer, task)
         packer.finish()
-        yield table(packer, base)
+        yield table(packer, task)
 
     return run
 
@@ -172,4 +175,13 @@ def pack(docs: DataFrame, *, context: int = CONTEXT, buffer: int = BUFFER, step_
     if context & (context - 1):
         raise ValueError("context must be a power of two")
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packing(context, buffer, step_tokens, vocabulary), SCHEMA)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    pieces = materialise(docs.mapInArrow(_packing(context, buffer, vocabulary), SCHEMA), "pieces")
+    counts = pieces.where("offset = 0").groupBy("task", "tier").agg(F.count("*").alias("n"))
+    of_tier = Window.partitionBy("tier")
+    counts = counts.select("task", "tier", (F.sum("n").over(of_tier.orderBy("task")) - F.col("n")).alias("before"), F.sum("n").over(of_tier).alias("n"))
+    groups = F.least("n", F.ceil(F.col("n") / F.greatest(F.floor(F.lit(step_tokens) / F.col("tier")), F.lit(1))))
+    # A group's id: the tier's exponent, then the group's number.
+    group = F.shiftleft(F.log2("tier").cast("long"), 40) + (F.col("before") + F.col("nth")) % F.col("groups")
+    counts = F.broadcast(counts.select("task", "tier", "before", groups.cast("long").alias("groups")))
+    return pieces.join(counts, ["task", "tier"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", group.cast("long").alias("step_group"))

@@ -227,6 +227,35 @@ def test_packing_is_an_exact_round_trip(spark, sf):
         assert at == s[0].tier <= 1024 and at & (at - 1) == 0
 
 
+def test_packing_by_tiers():
+    g = np.random.default_rng(5)
+    packer, sequences = packing.Packer(1024, 64, 0), defaultdict(list)
+    for i in range(3000):
+        packer.add(i, np.zeros(int(g.integers(1, 1500)), "<u4"))
+    packer.finish()
+    for r in packer.rows:
+        sequences[r[5]].append(r)
+    tiers = Counter(s[0][7] for s in sequences.values())
+    assert all(sum(r[2] for r in s) == s[0][7] for s in sequences.values()) and {1024, 512, 256} <= tiers.keys()
+    # A window is opened by a remainder of its own tier, but for the few that close the task.
+    assert sum(s[0][2] * 2 <= s[0][7] for s in sequences.values()) <= 11
+
+
+def test_step_groups_are_dealt_by_tier(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(5)
+    groups, tokens = defaultdict(set), Counter()
+    for r in packing.pack(docs, step_tokens=4096).collect():
+        groups[r.step_group].add(r.tier)
+        tokens[r.step_group] += r.length
+    by = defaultdict(list)
+    for group, tiers in groups.items():
+        (tier,) = tiers
+        by[tier].append(tokens[group])
+    assert len(by) > 3
+    for tier, totals in by.items():
+        assert max(totals) <= 4096 and max(totals) - min(totals) <= tier and len(totals) == -(-sum(totals) // 4096)
+
+
 def test_packing_of_odd_rows(spark):
     out = packing.pack(odd(spark)).collect()
     assert sum(r.length for r in out if r.doc_id == 1) == 1 and sum(r.length for r in out if r.doc_id == 2) == 1
