@@ -260,9 +260,11 @@ def near_duplicates(
     full = signed.where("n_shingles > 0")
     classes = full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = materialise(classes.where("copies > 1"), "classes")  # apart, so that a hot class can be split in the join
-    copies = full.join(classes, ["d1", "d2", "n_shingles"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    copies = materialise(copies.where("a <> b").distinct(), "copies")
-    reps = full.join(copies.select(F.col("b").alias("doc_id")), "doc_id", "left_anti")
+    row = ["doc_id", "d1", "d2", "n_shingles"]  # a doc_id may have other rows, which are no copies
+    copies = full.join(classes, ["d1", "d2", "n_shingles"]).where("rep <> doc_id").select("rep", *row)
+    folded = materialise(copies.distinct(), "copies")
+    copies = folded.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+    reps = full.join(folded.select(*row), row, "left_anti")
     slots = reps.select("doc_id", F.explode("keys").alias("key"))
     many = slots.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     slots = materialise(slots.join(many, "key").distinct(), "slots")

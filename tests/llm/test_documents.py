@@ -73,6 +73,13 @@ def test_near_duplicates_in_a_chain_of_a_large_bucket(spark):
     assert all(out[i] == i for i, _ in other)
 
 
+def test_near_duplicates_of_a_repeated_id_with_other_texts(spark):
+    one, two = prose(21, 80), prose(22, 80)
+    rows = [(3, one), (7, one), (7, two), (9, two + " end"), (11, prose(23, 80))]
+    out = minhash_neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in out) == [(3, 3), (7, 3), (7, 3), (9, 3), (11, 11)]
+
+
 def test_near_duplicates_of_odd_rows(spark):
     out = minhash_neardup.near_duplicates(odd(spark)).collect()
     assert len(out) == 10
