@@ -5,8 +5,9 @@ from __future__ import annotations
 
 import atexit
 import os
-import sys
+import re
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -21,14 +22,26 @@ PACKAGE = __name__.split(".")[0]
 
 
 # ---------------------------------------------------------------- session and shared folder
+#: Arrow batches stay small, since texts have no bound of their own. Parquet's vectored reads pass whole column
+#: chunks through direct buffers that each thread of a pool keeps for itself, up to the size of the heap in all.
+SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+    "parquet.hadoop.vectored.io.enabled": "false",
+}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset (tests in local mode) a temporary folder is made once per session.
+    Where it is unset, in local mode, a temporary folder is made once per session. On a cluster that would be a
+    folder of one machine, so there it is an error.
     """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="codelattice-")
         sc.setCheckpointDir(folder)
         folder = sc.getCheckpointDir()
@@ -38,10 +51,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, also when it isn't on their PYTHONPATH, and keep the
-    Arrow batches that they get small: texts have no bound of their own. The session keeps these settings."""
-    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 256), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
-        spark.conf.set(name, str(most))
+    """Make this package importable in Python workers, also when it isn't on their PYTHONPATH, and bound what a
+    task holds. The session keeps these settings, since results are lazy."""
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
     on_path = os.environ.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT in map(os.path.abspath, filter(None, on_path)) or getattr(spark.sparkContext, "_codelattice", None):
         return
@@ -56,15 +69,18 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext._codelattice = path
 
 
-_scratch: list[tuple[SparkSession, str]] = []
+_scratch: list[tuple[SparkSession, str, int]] = []  # session, folder, thread
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _clean() -> None:
-    for spark, path in _scratch:
+    for spark, path, _ in _scratch:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _remove(spark, path)
         except Exception:  # the session may be gone by now
             return
 
@@ -72,13 +88,42 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder; it is removed when the process ends, if not before."""
+    path = f"{shared_folder(spark).rstrip('/')}/{PACKAGE}/{name}-{uuid.uuid4().hex}"
+    _scratch.append((spark, path, threading.get_ident()))
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/codelattice/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    _scratch.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(since: int, *kept: DataFrame) -> None:
+    """Remove the tables that this thread wrote after the first ``since``, but for those that a result still reads."""
+    paths, me = {df._scratch for df in kept}, threading.get_ident()
+    for entry in _scratch[since:]:
+        if entry[2] == me and entry[1] not in paths:
+            _remove(*entry[:2])
+            _scratch.remove(entry)
+
+
+def written_so_far() -> int:
+    return len(_scratch)
+
+
+#: Ids that may be broadcast: 8 MB.
+BROADCAST_IDS = 1_000_000
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """Written ids, marked for a broadcast where they are few."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

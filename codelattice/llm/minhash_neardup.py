@@ -13,7 +13,9 @@ a spanning forest of the links found leaves the task. So every pair of a bucket
 already in one component, whatever the bucket's size.
 
 Null, empty and blank texts have the empty set (n_shingles 0) and link with nothing. Rows that repeat a
-doc_id are one node: their links are pooled, and each row is returned. Other columns are not read.
+doc_id are one node: their links are pooled, and each row is returned. Rows without a doc_id have a null
+component. Texts may be of any length: words are hashed in runs of bounded size. An empty table gives an
+empty result. Equal similarities need no order, since links are a set. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,15 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import as_bytes, connected_components, materialise, shingle_set, ship
+from codelattice.llm.common import as_bytes, connected_components, few, materialise, release, shingle_set, ship, written_so_far
 
 SHINGLE, PERCENT, PERMUTATIONS, BANDS, ROWS = 5, 80, 40, 20, 4
 #: Pairs whose estimated similarity is this far under the threshold are not fetched in full: over five
 #: standard deviations of an estimate from 80 values.
 SLACK = 0.25
 CHUNK = 4096
-#: Shingles and documents on either side of a block, about, and ids that may be broadcast (8 MB).
-BLOCK_SHINGLES, BLOCK_DOCS, BROADCAST_IDS = 250_000, 2000, 1_000_000
+#: Shingles and documents on either side of a block, about.
+BLOCK_SHINGLES, BLOCK_DOCS = 250_000, 2000
 
 
 def _family(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,8 +121,7 @@ def _verify(percent: int):
 
 def _sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, s) of the documents ``ids``. Few ids go to the texts, many meet them in a shuffle."""
-    ids = materialise(ids.distinct(), "ids")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    ids = few(materialise(ids.distinct(), "ids"))
     found = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, s binary")
     return materialise(found, "sets")
 
@@ -253,8 +254,8 @@ def near_duplicates(
     """
     if bands * rows > 2 * permutations:
         raise ValueError("bands * rows exceeds the signature")
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
+    since = written_so_far()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialise(docs.mapInArrow(_signer(shingle, permutations, bands, rows), "doc_id long, n_shingles long, d1 long, d2 long, sig binary, keys array<long>"), "signed")
     full = signed.where("n_shingles > 0")
@@ -279,5 +280,6 @@ def near_duplicates(
     more = _blocks(left, reps, docs, shingle, percent)
     every = copies.unionByName(links).unionByName(more)
     component = materialise(connected_components(every), "components")
+    release(since, signed, component)
     out = signed.select("doc_id", "n_shingles").join(component, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
