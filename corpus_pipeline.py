@@ -1,7 +1,11 @@
 """From raw documents to packed training sequences, in five stages over the whole corpus.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
-as the next one's docs. All but the last return the columns of documents.
+as the next one's docs. All but the last return the columns of documents; extra columns are dropped.
+
+Null texts and texts without a letter have no language and go in the first stage. Rows without a doc_id link
+with nothing and stay; null sources are a source of their own. Ties go to the smaller doc_id. Texts may be of
+any length and are read whole. An empty table gives an empty result in every stage.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelattice.llm import language_id, minhash_neardup, mixing, packing, substring_dedup
-from codelattice.llm.common import materialise
+from codelattice.llm.common import few, materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -24,9 +28,14 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
-    gone = minhash_neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of near duplicates the document with the smallest doc_id stays, and of rows that repeat doc_id
+    and text one. Texts are shuffled only where a doc_id repeats or where too many documents go for a broadcast."""
+    found = minhash_neardup.near_duplicates(docs)
+    gone = few(materialise(found.where(~F.col("kept")).select("doc_id").distinct(), "gone"))
+    repeated = few(materialise(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"), "repeated"))
+    docs = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    once = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(repeated, "doc_id", "left_anti").unionByName(once).select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
