@@ -163,19 +163,48 @@ def test_passages_that_repeat_are_cut(spark):
         assert rows[i][1][: span.start] + rows[i][1][span.end :] == out[i].text and rows[i][1][span.start : span.end] in passage + "\n"
 
 
+def repeated_words(docs, line_words, min_words):
+    """Per document the words that lie in a later line or a later window, told on the words themselves."""
+    seen, out = {}, {}
+    for i, text in docs:
+        words, gone, at = text.lower().split(), set(), 0
+        for line in text.split("\n"):
+            line = line.lower().split()
+            if len(line) >= line_words and seen.setdefault(("line", *line), (i, at)) != (i, at):
+                gone.update(range(at, at + len(line)))
+            at += len(line)
+        for n in range(len(words) - min_words + 1):
+            if seen.setdefault(tuple(words[n : n + min_words]), (i, n)) != (i, n):
+                gone.update(range(n, n + min_words))
+        out[i] = gone
+    return out
+
+
 def test_passages_against_brute_force(spark, sf):
-    """Every unit that goes occurs earlier, runs are long enough, and every long run of later units goes."""
+    """What goes is what repeats, but for one or two words before a sentence's start; offsets are those of the original."""
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
-    first, want = {}, {}
-    for i, text in docs:
-        for n, (_, _, words, digest) in enumerate(substring_dedup.units(text)):
-            if words >= substring_dedup.TELLING:
-                first.setdefault(digest, (i, n))
-    for i, text in docs:
-        later = {n for n, u in enumerate(substring_dedup.units(text)) if u[3] in first and first[u[3]] != (i, n) and u[2] >= substring_dedup.TELLING}
-        want[i] = substring_dedup.cut(text, later, substring_dedup.MIN_WORDS)
+    want, text = repeated_words(docs, substring_dedup.LINE_WORDS, substring_dedup.MIN_WORDS), dict(docs)
     for r in queries.op6_substring_dedup(spark, sf).collect():
-        assert (r.text, [(s.start, s.end) for s in r.spans], r.removed_words) == want[r.doc_id]
+        whole, kept, at = text[r.doc_id], [], 0
+        for s in r.spans:
+            kept.append(whole[at : s.start])
+            at = s.end
+        assert "".join([*kept, whole[at:]]) == r.text
+        gone = {n for n, m in enumerate(re.finditer(r"\S+", whole)) if any(s.start <= m.start() < s.end for s in r.spans)}
+        assert gone <= want[r.doc_id] and len(gone) == r.removed_words
+        for n in want[r.doc_id] - gone:
+            assert n - 1 not in want[r.doc_id] or n - 2 not in want[r.doc_id]
+
+
+def test_lines_that_repeat_are_cut(spark):
+    """A line of 20 words in five documents, differently spaced and cased, goes but for the first; one of 9 words stays."""
+    line = " ".join(f"word{i}" for i in range(20))
+    rows = [(i, f"{prose(i, 12)}\n{line.upper() if i == 3 else line.replace(' ', '  ')} \nAll rights reserved by the owner of this site.\n{prose(50 + i, 12)}") for i in range(5)]
+    out = {r.doc_id: r for r in substring_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0].text == rows[0][1] and out[0].removed_words == 0
+    for i in range(1, 5):
+        (span,) = out[i].spans
+        assert out[i].removed_words == 20 and rows[i][1][span.start : span.end].lower().split() == line.split() and "All rights" in out[i].text
 
 
 def test_passages_are_cut_to_their_words(spark):
