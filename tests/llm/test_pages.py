@@ -1,5 +1,9 @@
 """URL filter and HTML extraction."""
 
+import re
+import time
+from collections import defaultdict
+
 from codelattice.llm import html_extract, url_filter
 from codelattice.llm.html_extract import Page
 
@@ -99,11 +103,62 @@ def test_templates_of_a_host_go(spark):
         out = html_extract.extract(table, broadcast_rows=most).collect()
         by = {r.page_id: r.text for r in out}
         assert len(out) == 36 and by[900] == by[901] == ""
-        assert by[5] == "Story 5 of its own\nTail 2" and by[101] == "Welcome to our site\nevery page\nStory 101 of its own\nTail 2"
+        assert by[5] == "Story 5 of its own\nTail 2" and by[101] == "Story 101 of its own\nTail 2"
         assert all(r.n_chars == len(r.text) for r in out)
     assert html_extract.extract(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_copies_of_a_page_make_no_template(spark):
+    """Neither repeated rows nor pages with one content, and two pages tell nothing."""
+    same = "<div><h1>Title</h1><p>Only story here</p></div>"
+    rows = [(1, "http://a.org/1", same)] * 12 + [(i, f"http://b.org/{i}", same) for i in range(2, 14)] + [(20 + i, f"http://c.org/{i}", f"<div><p>Both</p></div><p>{i}</p>") for i in range(2)]
+    out = html_extract.extract(spark.createDataFrame([(*r, 1, 2) for r in rows], SCHEMA)).collect()
+    assert len(out) == 26 and {r.text for r in out if r.page_id < 20} == {"Title\nOnly story here"}
+    assert {r.text for r in out if r.page_id >= 20} == {"Both\n0", "Both\n1"}
+
+
+def test_an_article_is_its_own(spark):
+    """What recurs in articles stays; attributes that only contain a telling word reject nothing."""
+    rows = [(i, f"http://a.org/{i}", f'<div>All pages</div><article><h1 class="header">{i}</h1><p>Stock phrase</p><div class="share-price">7</div><p id="ad-hoc">x</p></article>') for i in range(12)]
+    for r in html_extract.extract(spark.createDataFrame([(*r, 1, 2) for r in rows], SCHEMA)).collect():
+        assert r.text == f"{r.page_id}\nStock phrase\n7\nx"
+
+
+def bare(html):
+    """The page without telling markup: menus, articles, footers and adverts are plain divs."""
+    return re.sub(r"<(/?)(?:nav|article|footer)\b[^>]*>", r"<\1div>", html).replace(' class="ad"', "")
+
+
+def test_counts_decide_on_given_pages_without_telling_markup(spark, sf):
+    """Against a brute-force count of subtrees; without counts the footers would stay."""
+    larger = sf.replace("sf0.001", "sf0.01")
+    pages = [(r.page_id, r.url, bare(r.html)) for r in spark.read.parquet(f"{larger}/pages.parquet").collect()]
+    hosts, kinds = defaultdict(set), defaultdict(set)
+    for _, url, html in pages:
+        host = url.split("://")[1].split("/")[0].split("?")[0].split("#")[0].lower()
+        hosts[host].add(html)
+    for host, every in hosts.items():
+        for html in every:
+            for d in Page(html).subtrees():
+                kinds[host, d].add(html)
+    out = html_extract.extract(spark.createDataFrame([(*p, 1, 2) for p in pages], SCHEMA)).collect()
+    source, went = {p[0]: p for p in pages}, 0
+    for r in out:
+        host = r.url.split("://")[1].split("/")[0].split("?")[0].split("#")[0].lower()
+        gone = {d for (h, d), those in kinds.items() if h == host and len(those) >= 3 and len(those) >= html_extract.SHARE * len(hosts[host])}
+        assert r.text == Page(source[r.page_id][2]).main_text(gone)
+        went += r.text != Page(source[r.page_id][2]).main_text(set())
+    assert went > 0
+
+
+def test_hostile_pages_take_linear_time():
+    for source in ("<a '" * 50_000, "<a '>'" * 40_000 + "'", "<div>t" * 40_000, "<div>" * 30_000 + "</x>" * 30_000, "<!" * 100_000, "<a '>\"" * 40_000 + ">", "<title>" * 30_000):
+        began = time.process_time()
+        Page(source).main_text(set())
+        assert time.process_time() - began < 10
+    assert text("<p>1 < 2 <a 'x>y</p><p>z</p>") == "1 < 2 y\nz"
+
+
 def test_very_long_page():
     source = "<article>" + "<p>word &amp; more</p>" * 50_000 + "</article>"
     assert text(source).count("\n") == 49_999
