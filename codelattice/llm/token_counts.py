@@ -9,7 +9,9 @@ drivers change nothing. ``compact`` folds committed batches into a snapshot that
 
 Sums are partially aggregated before the shuffle, so a source that holds a third of all rows costs one row
 a task. Totals whose documents all went are kept out of the result. Null source, lang or text are values of
-their own (a null text has 0 tokens). Repeated rows count each; extra columns are not read.
+their own (a null text has 0 tokens). Repeated rows count each; extra columns are not read. Texts of any length are
+counted whole. An empty batch is committed like others; an empty rollup has no rows. A batch id belongs to one
+writer at a time: two that write the same id at once would overwrite each other.
 """
 
 from __future__ import annotations
@@ -116,8 +118,10 @@ class Rollup:
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, docs, tokens, chars of all that is committed."""
-        snapshot, covered = self._covered()
-        paths = [self._at(b) for b in self.committed() if b not in covered]
+        return self._totals(*self._covered(), self.committed())
+
+    def _totals(self, snapshot: str | None, covered: set[str], batches: list[str]) -> DataFrame:
+        paths = [self._at(b) for b in batches if b not in covered]
         if snapshot:
             paths.append(f"{self.path}/{snapshot}/rows")
         if not paths:
@@ -126,11 +130,12 @@ class Rollup:
         return fold(rows).where("docs <> 0 or tokens <> 0 or chars <> 0")
 
     def compact(self) -> str:
-        """Fold everything committed into a new snapshot; its batches stay known."""
-        snapshot, covered = self._covered()
+        """Fold everything committed into a new snapshot; its batches stay known. Batches are listed once, so one that is
+        committed meanwhile is neither in the rows nor in the list."""
+        (snapshot, covered), batches = self._covered(), self.committed()
         number = int(snapshot.partition("=")[2]) + 1 if snapshot else 1
         name = f"snapshot={number:09d}"
-        every = sorted(covered | set(self.committed()))
-        self.totals().write.mode("overwrite").parquet(f"{self.path}/{name}/rows")
+        every = sorted(covered | set(batches))
+        self._totals(snapshot, covered, batches).write.mode("overwrite").parquet(f"{self.path}/{name}/rows")
         self.spark.createDataFrame([(json.dumps(every),)], "batches string").coalesce(1).write.mode("overwrite").text(f"{self.path}/{name}/batches")
         return name
