@@ -1,19 +1,23 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs, one per shard.
 
 Equal vectors are folded first. Distinct vectors are dealt into shards by a hash; each shard's graph is
-built in one task. Blocks of vectors then visit every shard's graph with a beam search that runs a whole
-block in lock step. Two audits widen the beam: known links (nodes turned by the threshold's angle) must be
-found in every graph, and a sample of every block must get the links of an exact scan; a beam of half the
-shard's width gives way to an exact scan. A vector whose beam fills up with links in a shard is scanned exactly there, so the size of a
-group of near copies never depends on the beam. Cosines of found links are checked in double precision.
+built in one task, once. Blocks of vectors then visit every shard's graph with a beam search that runs a whole
+block in lock step, at every size of a shard; a shard's blocks are split over tasks, each with a copy of the graph. Two
+audits widen the beam: known links (nodes turned by the threshold's angle) must be found in every graph, and a sample of
+every block must get the links of an exact scan. Where a beam as wide as the shard still misses some, as in a graph of
+several parts, the block is scanned. Cosines of found links are checked in double precision, and a vector for which the
+search finds ``DENSE`` links or more in a shard is counted exactly there, so the size of a group of near copies never
+depends on the beam.
 
 Links are returned as pairs only where a vector has few in a shard; of a dense group each task returns
 counts and a spanning forest, so a group's pairs are never laid out. Components are joined in Spark.
 
 Shards hold about ``shard_rows`` vectors, at least ``shards`` of them, so the memory of a task is bounded.
 Vectors that are null, zero or hold null or non-finite components link with nothing, nor do vectors of
-different lengths with each other. Rows that repeat a vec_id are one node; each row is returned. Rows
-without a vec_id are returned with a null component. Other columns are not read.
+different lengths with each other. Rows that repeat a vec_id are one node: equal ones count once, links of different
+ones join in one component, and n_links is the largest of their counts; each row is returned. Rows
+without a vec_id are returned with a null component. Links at the threshold count, so ties need no order. An empty table
+gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import connected_components, materialise, ship
+from codelattice.llm.common import connected_components, few, materialise, release, ship, written_so_far
 from codelattice.llm.vectors import as_rows, folded, matrix, usable
 
-COSINE, SHARDS, SHARD_ROWS, BLOCK_ROWS = 0.9, 6, 16_384, 2048
+COSINE, SHARDS, SHARD_ROWS, BLOCK_ROWS, TASK_BLOCKS = 0.9, 6, 16_384, 2048, 16
 DEGREE, BUILD_BEAM, BEAM, AUDIT, AUDIT_RECALL, SAMPLE, DENSE = 16, 64, 64, 512, 0.998, 64, 12
 STEP = 512
 
@@ -191,19 +195,16 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 def audited_width(graph: Graph, exact: np.ndarray, cosine: float, seed: int = 3) -> int:
     """The narrowest beam, doubling from BEAM, that finds the audited share of known links: nodes of the
-    shard are turned away by exactly the angle of ``cosine`` and sought. As wide as half the shard: scan."""
-    n, g, width = len(exact), np.random.default_rng(seed), BEAM
+    shard are turned away by exactly the angle of ``cosine`` and sought. At most as wide as the shard."""
+    n, g, width = len(exact), np.random.default_rng(seed), min(BEAM, len(exact))
     nodes = g.choice(n, min(AUDIT, n), replace=False)
     v = exact[nodes]
     away = g.standard_normal(v.shape)
     away -= (away * v).sum(axis=1, keepdims=True) * v
     long = np.sqrt((away * away).sum(axis=1, keepdims=True))
     probe = (cosine * v + np.sqrt(1 - cosine * cosine) * away / np.where(long > 0, long, 1)).astype(np.float32)
-    while width < n // 2:
-        found = (graph.search(probe, width)[0] == nodes[:, None]).any(axis=1)
-        if found.mean() >= AUDIT_RECALL:
-            break
-        width *= 2
+    while width < n and (graph.search(probe, width)[0] == nodes[:, None]).any(axis=1).mean() < AUDIT_RECALL:
+        width = min(2 * width, n)
     return width
 
 
@@ -215,16 +216,17 @@ def links_of(graph: Graph, exact: np.ndarray, q: np.ndarray, own: np.ndarray, co
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
     sample = np.unique(np.linspace(0, len(q) - 1, min(SAMPLE, len(q))).astype(int))
     truth = [set(np.flatnonzero(line >= cosine).tolist()) for line in q[sample] @ exact.T]
-    while width < n // 2:
+    while True:
         parts = [graph.search(single[i : i + STEP], width) for i in range(0, len(q), STEP)]
         ids, sims = (np.concatenate(x) for x in zip(*parts, strict=True))
         near = sims >= cosine - 1e-3
         dense = near.sum(axis=1) >= DENSE
         if all(dense[r] or t <= set(ids[r][near[r]].tolist()) for r, t in zip(sample, truth, strict=True)):
             break
-        width *= 2
-    else:
-        dense, ids, near = np.ones(len(q), bool), np.zeros((len(q), 0), int), np.zeros((len(q), 0), bool)
+        if width >= n:
+            dense[:] = True
+            break
+        width = min(2 * width, n)
     for i in np.flatnonzero(near.any(axis=1) & ~dense):
         c = ids[i][near[i]].astype(np.int64)
         c = c[c != own[i]]
@@ -239,19 +241,19 @@ def links_of(graph: Graph, exact: np.ndarray, q: np.ndarray, own: np.ndarray, co
 
 # ------------------------------------------------------------------ Spark
 def _builder(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    table = table.sort_by("vec_id")
+    table = table.sort_by("node")
     v = matrix(table.column("data").combine_chunks())
     exact = unit(v)
     g = Graph.build(exact.astype(np.float32))
     head = np.array([len(g.layers), g.entry, *(a.shape[1] for a in g.layers)], "<i8")
     blob = head.tobytes() + b"".join(a.astype("<i4").tobytes() for a in g.layers)
-    ids, w = (table.column(c).to_numpy().astype("<i8").tobytes() for c in ("vec_id", "copies"))
+    ids, w = (table.column(c).to_numpy().astype("<i8").tobytes() for c in ("node", "copies"))
     return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "block": pa.array([-1], pa.int64()), "ids": pa.array([ids], pa.binary()), "copies": pa.array([w], pa.binary()), "data": pa.array([exact.tobytes()], pa.binary()), "graph": pa.array([blob], pa.binary())})
 
 
 def _blocker(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     exact = unit(matrix(table.column("data").combine_chunks()))
-    ids = table.column("vec_id").to_numpy().astype("<i8").tobytes()
+    ids = table.column("node").to_numpy().astype("<i8").tobytes()
     return pa.table({"dim": pa.array([key[0].as_py()], pa.int64()), "block": pa.array([key[1].as_py()], pa.int64()), "ids": pa.array([ids], pa.binary()), "data": pa.array([exact.tobytes()], pa.binary())})
 
 
@@ -317,39 +319,54 @@ def _report(shard: int, ids: np.ndarray, nodes: np.ndarray, copies: np.ndarray,
 def near_duplicates(table: DataFrame, *, cosine: float = COSINE, shards: int = SHARDS, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per row of ``table`` (vec_id, embedding): vec_id, n_links, component_id, kept."""
     ship(table.sparkSession)
-    own = usable(table)
-    distinct = materialise(as_rows(folded(own).withColumn("dim", F.size("embedding").cast("long"))), "distinct")
+    since, own = written_so_far(), usable(table)
+    again = materialise(own.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id"), "again")
+    own = own.join(few(again), "vec_id", "left_anti").unionByName(own.join(few(again), "vec_id", "left_semi").distinct())
+    # node: a number of the distinct vector's own, fixed by writing it.
+    distinct = folded(own).withColumn("dim", F.size("embedding").cast("long")).withColumn("node", F.monotonically_increasing_id())
+    distinct = materialise(as_rows(distinct), "distinct")
     n = distinct.count()
     shards, blocks = max(shards, -(-n // shard_rows)), max(1, -(-n // block_rows))
-    deal = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("long")
+    tasks = -(-blocks // TASK_BLOCKS)  # of a shard
+    deal = F.pmod(F.xxhash64("data"), F.lit(shards)).cast("long")
     distinct = distinct.withColumn("shard", F.col("dim") * shards + deal)
     index = distinct.groupBy("shard").applyInArrow(_builder, "shard long, block long, ids binary, copies binary, data binary, graph binary")
-    queries = distinct.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("long"))
-    queries = queries.groupBy("dim", "block").applyInArrow(_blocker, "dim long, block long, ids binary, data binary")
+    index = materialise(index, "graphs").withColumn("task", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tasks - 1).cast("long"))))
+    queries = distinct.withColumn("block", F.pmod(F.xxhash64("data", F.lit(1)), F.lit(blocks)).cast("long"))
+    queries = materialise(queries.groupBy("dim", "block").applyInArrow(_blocker, "dim long, block long, ids binary, data binary"), "blocks")
     present = distinct.select("dim", "shard").distinct().withColumnRenamed("dim", "d")
-    queries = queries.join(present, F.col("dim") == F.col("d"))
-    visits = index.unionByName(queries.select("shard", "block", "ids", F.lit(None).cast("binary").alias("copies"), "data", F.lit(None).cast("binary").alias("graph")))
-    visits = visits.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "block")
+    queries = queries.join(F.broadcast(present), F.col("dim") == F.col("d")).withColumn("task", F.col("block") % tasks)  # a row a shard
+    nothing = F.lit(None).cast("binary")
+    visits = index.unionByName(queries.select("shard", "block", "ids", nothing.alias("copies"), "data", nothing.alias("graph"), "task"))
+    visits = visits.repartitionByRange(shards * tasks, "shard", "task").sortWithinPartitions("shard", "task", "block").drop("task")
     found = materialise(visits.mapInArrow(_visit(cosine), LINKS), "links")
-    return _result(table, own, distinct, found)
+    out, kept = _result(table, own, distinct.drop("data"), found, again)
+    release(since, again, kept)
+    return out
 
 
-def _result(table: DataFrame, own: DataFrame, distinct: DataFrame, found: DataFrame) -> DataFrame:
+def _result(table: DataFrame, own: DataFrame, distinct: DataFrame, found: DataFrame, again: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows, and the written table that they are read from."""
     pairs = found.where("b is not null and n is not null")
-    home = distinct.select(F.col("vec_id").alias("v"), F.col("shard").alias("home"), "copies")
+    home = distinct.select(F.col("node").alias("v"), F.col("shard").alias("home"), "copies")
     # A link counts if either end found it; an end that was scanned exactly in a shard has its sum already.
     back = pairs.select("a", "b").join(home, F.col("a") == F.col("v")).select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("home").alias("shard"), F.col("copies").alias("n"))
     sums = found.where("b is null")
     back = back.join(sums.select("a", "shard"), ["a", "shard"], "left_anti").select("a", "b", "shard", "n")
     counts = pairs.unionByName(back).distinct().unionByName(sums).groupBy("a").agg(F.sum("n").alias("others"))
-    component = materialise(connected_components(found.where("b is not null").select("a", "b")), "components")
-    per = distinct.select(F.col("vec_id").alias("rep"), "copies").join(counts, F.col("rep") == F.col("a"), "left").join(component, F.col("rep") == F.col("node"), "left")
-    per = per.select("rep", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"), "copies")
     # Copies of a vector take their class's result; single vectors, the rule, need no second look.
     rep = folded(own).where("copies > 1").select("embedding", F.col("vec_id").alias("r"))
-    copies = own.join(rep, "embedding").select(F.col("vec_id").alias("m"), "r").distinct()
-    every = per.select(F.col("rep").alias("m"), "n_links", "component_id").unionByName(copies.where("m <> r").join(per, F.col("r") == F.col("rep")).select("m", "n_links", "component_id"))
-    every = every.groupBy("m").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    copies = own.join(rep, "embedding").select(F.col("vec_id").alias("m"), "r").where("m <> r")
+    end = lambda c: distinct.select(F.col("node").alias(c), F.col("vec_id").alias(f"{c}_id"))
+    links = found.where("b is not null").select("a", "b").distinct().join(end("a"), "a").join(end("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    # An id with several vectors joins the components of all of them.
+    links = links.unionByName(copies.join(again, F.col("m") == F.col("vec_id"), "left_semi").select(F.col("r").alias("a"), F.col("m").alias("b")))
+    component = connected_components(links).select(F.col("node").alias("id"), "component")
+    per = distinct.select("node", F.col("vec_id").alias("rep"), "copies").join(counts, F.col("node") == F.col("a"), "left").join(component, F.col("rep") == F.col("id"), "left")
+    per = per.select("rep", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"), "copies")
+    every = per.select(F.col("rep").alias("m"), "n_links", "component_id").unionByName(copies.join(per.where("copies > 1"), F.col("r") == F.col("rep")).select("m", "n_links", "component_id"))
+    every = materialise(every.groupBy("m").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id")), "every")
     ids = table.select(F.col("vec_id").cast("long").alias("vec_id"))
     out = ids.join(every, F.col("vec_id") == F.col("m"), "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id")), every

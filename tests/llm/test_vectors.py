@@ -49,6 +49,41 @@ def test_beams_find_links_in_large_shards():
     assert missed <= 2
 
 
+def test_small_shards_are_searched_through_the_graph(monkeypatch):
+    """Of 80 vectors too every one is sought by beams, and what they find is exact."""
+    g = np.random.default_rng(6)
+    x = hnsw_neardup.unit(g.standard_normal((80, 16)))
+    x[40:70] = hnsw_neardup.unit(x[:30] + 0.05 * g.standard_normal((30, 16)))
+    graph = hnsw_neardup.Graph.build(x.astype(np.float32))
+    sought, search = [], hnsw_neardup.Graph.search
+    monkeypatch.setattr(hnsw_neardup.Graph, "search", lambda self, q, width: (sought.append(len(q)), search(self, q, width))[1])
+    found = hnsw_neardup.links_of(graph, x, x, np.arange(80), 0.9, hnsw_neardup.BEAM)
+    assert sum(sought) >= 80
+    assert [set(f.tolist()) for f in found] == [set(np.flatnonzero(line >= 0.9).tolist()) - {i} for i, line in enumerate(x @ x.T)]
+
+
+def test_near_duplicate_vectors_of_a_larger_table(spark):
+    """Against brute force on sf0.1, where shards are many times a beam."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = table.collect()
+    ids, v = np.array([r.vec_id for r in rows]), hnsw_neardup.unit(np.array([r.embedding for r in rows], float))
+    near = v @ v.T >= 0.9
+    np.fill_diagonal(near, False)
+    comp, before = ids.copy(), None
+    while before is None or (comp != before).any():
+        before = comp.copy()
+        for i in np.flatnonzero(near.any(axis=1)):
+            comp[i] = min(comp[i], comp[near[i]].min())
+    out = {r.vec_id: (r.n_links, r.component_id) for r in hnsw_neardup.near_duplicates(table).collect()}
+    assert out == dict(zip(ids.tolist(), zip(near.sum(axis=1).tolist(), comp.tolist(), strict=True), strict=True))
+
+
+def test_a_repeated_id_with_other_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [1.0, 0.001]), (2, [0.0, 2.0]), (3, [-1.0, 0.0])]
+    out = sorted((r.vec_id, r.n_links, r.component_id) for r in hnsw_neardup.near_duplicates(spark.createDataFrame([(*r, 0, 1, 2) for r in rows], SCHEMA)).collect())
+    assert out == [(0, 1, 0), (1, 1, 0), (1, 1, 0), (2, 1, 0), (3, 0, 3)]
+
+
 def odd(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [2.0, 0.0]), (40, None), (60, [0.0, 0.0]), (80, [nan, 1.0]), (100, [inf, 1.0]), (120, [None, 1.0]), (140, [1.0, 0.0, 0.0]), (160, []), (None, [1.0, 0.0]), (20, [2.0, 0.0]), (180, [0.0, 1.0])]
@@ -58,7 +93,7 @@ def odd(spark):
 def test_odd_vectors(spark):
     out = [(r.vec_id, r.n_links, r.component_id) for r in hnsw_neardup.near_duplicates(odd(spark)).collect()]
     assert len(out) == 12 and all(n == 0 and c == i for i, n, c in out if i not in (0, 20))
-    assert {c for i, _, c in out if i in (0, 20)} == {0}
+    assert {(n, c) for i, n, c in out if i in (0, 20)} == {(1, 0)}
     found = [(r.query_id, r.vec_id, r.score) for r in hilbert_ann.nearest(odd(spark)).collect()]
     assert {q for q, _, _ in found} == {0, 20, 180} and all(q != v for q, v, _ in found)
     none = spark.createDataFrame([], SCHEMA)
