@@ -11,9 +11,10 @@ is the smallest that holds the share ``recall`` of their true neighbours on at l
 without structure, as in isotropic noise, that window is a large part of the table; on clustered ones it is
 short. Every row is indexed. Equal vectors are folded, with as many of their smallest ids as can be needed.
 
-Vectors null, zero or holding null or non-finite components take no part, nor do those whose length differs
-from the most common one. Rows that repeat a vec_id count once per distinct vector. Ties go to the smaller
-vec_id. Other columns are not read.
+Vectors null, zero or holding null or non-finite components take no part. Vectors of different lengths have no inner
+product; each length that occurs is a table of its own. Rows that repeat a vec_id count once per distinct vector, and
+ask with the first of them in the order of components. Ties go to the smaller vec_id. A table without queries
+or vectors gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -149,25 +150,28 @@ def _rescore(top: int, window: int):
 
 def nearest(table: DataFrame, *, top: int = TOP, every: int = EVERY, curves: int = CURVES, dims: int = DIMS, bits: int = BITS, audit: int = AUDIT, recall: float = RECALL, most_block: int = MOST_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for each vec_id divisible by ``every`` its ``top`` nearest others found."""
-    spark = table.sparkSession
-    ship(spark)
+    ship(table.sparkSession)
     if dims * bits > 62:
         raise ValueError("keys must fit in 62 bits")
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    own = usable(table)
-    common = own.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    if common is None:
-        return empty
-    own = own.where(F.size("embedding") == common["d"])
+    own, out = usable(table), None
+    for size in sorted(r["d"] for r in own.select(F.size("embedding").alias("d")).distinct().collect()):
+        found = _nearest(own.where(F.size("embedding") == size), size, top, every, curves, dims, bits, audit, recall, most_block)
+        if found is not None:
+            out = found if out is None else out.unionByName(found)
+    return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double") if out is None else out
+
+
+def _nearest(own: DataFrame, size: int, top: int, every: int, curves: int, dims: int, bits: int, audit: int, recall: float, most_block: int) -> DataFrame | None:
+    spark = own.sparkSession
     rows = materialise(as_rows(folded(own, smallest=top + 1)), "rows")
-    queries = materialise(as_rows(own.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])), "queries")
+    queries = materialise(as_rows(own.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))), "queries")
     square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
     longest = own.agg(F.sqrt(F.max(square))).first()[0]
     sample = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(audit).collect()
     if not sample:
-        return empty
+        return None
     # Projections on random directions rarely leave three times the share of one direction.
-    spread = min(1.0, 3.0 / float(np.sqrt(common["d"] + 1)))
+    spread = min(1.0, 3.0 / float(np.sqrt(size + 1)))
     place = (longest, spread, curves, dims, bits)
     placed = rows.mapInArrow(_place(*place, False), "curve long, key long, kind long, vec_id long").unionByName(queries.mapInArrow(_place(*place, True), "curve long, key long, kind long, vec_id long"))
     width = max(curves, int(spark.conf.get("spark.sql.shuffle.partitions")))
