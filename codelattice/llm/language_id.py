@@ -9,27 +9,31 @@ bit was learned (its leave-one-out accuracy), takes the nearest codeword and fla
 when the runner-up is nearly as near.
 
 Only text and lang of documents with crc32(doc_id) mod 4 != 2 are learned from; predictions read text
-alone. Null texts and texts without a letter are ``und`` with score 0; so is everything where no document
-is labelled. A null doc_id is never learned from and not held out. Repeated rows are predicted alike.
-Other columns are not read.
+alone. Null texts and texts without a letter (Unicode's category L) are ``und`` with score 0; so is everything where no
+document is labelled. A null doc_id is never learned from and not held out. The sample never exceeds ``max_docs``
+rows, however often a doc_id repeats; every language gets as many rows as any other or all it has. Where there
+are more languages than ``max_docs / 2``, the rarer ones can't be learned from so few rows and a warning names their
+number. Repeated rows are predicted alike; of codewords equally near the first language by name wins. Texts of any
+length are read whole, in chunks. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codelattice.llm.common import ship
 
 MAX_DOCS, BUCKETS, RIDGE, SHARPNESS, AMBIGUOUS = 1200, 8192, 0.02, 3.0, 0.6
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 CHUNK = 1 << 20
 
 
@@ -116,15 +120,24 @@ def train(docs: DataFrame, *, max_docs: int = MAX_DOCS) -> Model:
     ship(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     own = own.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_docs // 2).collect()}
+    counts = own.groupBy("lang").agg(F.count("*").alias("n"))
+    known = counts.count()
+    if known > max_docs // 2:
+        warnings.warn(f"{known - max_docs // 2} of {known} languages are left out: max_docs is {max_docs}", stacklevel=2)
+    counts = {r["lang"]: r["n"] for r in counts.orderBy(F.desc("n"), "lang").limit(max_docs // 2).collect()}
     if not counts:
         return Model([], np.zeros((0, 1)), np.zeros((1, BUCKETS), np.float32), np.ones(1))
     most = max(1, max_docs // len(counts))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    part = F.lit(False)
-    for lang, n in counts.items():
-        part = part | ((F.col("lang") == lang) & (draw < int((1 << 20) * min(1.0, most / n)) + 1))
-    rows = sorted(own.where(part).mapInArrow(_featurise, "doc_id long, lang string, x binary").collect(), key=lambda r: (r["lang"], r["doc_id"], r["x"]))
+    # The rows with the smallest hashes of each language: their bounds first, without texts, then the rows.
+    own = own.where(F.col("lang").isin(*counts)).withColumn("h", F.xxhash64("doc_id", "text"))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    least = own.select("lang", "doc_id", "h").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    bounds = {r["lang"]: r["h"] for r in least.groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    near = F.lit(False)
+    for lang, h in bounds.items():
+        near = near | ((F.col("lang") == lang) & (F.col("h") <= h))
+    chosen = own.where(near).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place", "h")
+    rows = sorted(chosen.mapInArrow(_featurise, "doc_id long, lang string, x binary").collect(), key=lambda r: (r["lang"], r["doc_id"], r["x"]))
     languages = sorted({r["lang"] for r in rows})
     y = np.array([languages.index(r["lang"]) for r in rows])
     x = np.empty((len(rows), BUCKETS), np.float32)
