@@ -9,11 +9,12 @@ prefix sum, so rounding can't exceed the cap.
 
 The prefix sum is a rank, since the step is constant. Ranks come from counts in three levels (sizes within
 a source, slices of a size by a hash, documents of a slice of about ``slice_rows``), so a hot source or a
-hot size is spread over many tasks and no window holds a whole source.
+hot size is spread over many tasks and no window holds a whole source. (Slices part by doc_id, so rows that all have
+one doc_id, or none, and one size stay together; a row there is three numbers, texts take no part.)
 
 A null text has size 0. The null source is a source of its own, last in order. Rows that repeat a doc_id
 are separate documents. Empty tables give empty results. Documents of size 0 are taken like others and add
-no words. Other columns pass through ``mix`` untouched unless they are named like one of its results,
+no words. Texts of any length are counted whole. Other columns pass through ``mix`` untouched unless they are named like one of its results,
 in which case they are replaced.
 """
 

@@ -13,7 +13,9 @@ tasks and dealt in turn to as few groups as hold them: the groups of a tier diff
 Packing happens in the task that reads the documents: no state beyond a buffer of ``buffer`` remainders, and
 sequence ids made of the partition's number and a counter. The pieces are written; only the counts of sequences by
 task and tier are shuffled and joined back. Null texts are empty (one id, the closing 0). Repeated rows are packed
-each for itself. Other columns are not read.
+each for itself, also without a doc_id; remainders of one length go in the order of arrival. Texts of any length are
+packed whole. Another order of the input makes other sequences of the same pieces. An empty table gives an empty result.
+Other columns are not read.
 
 Ids are those of the ``tokenizers`` file named by ``vocabulary``. Texts whose characters all lie in
 ``PLAIN`` are encoded by tiktoken from the same vocabulary as ranks (about four times as fast; the ids are

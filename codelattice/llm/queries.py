@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelattice.llm import hilbert_ann, hnsw_neardup, html_extract, language_id, minhash_neardup, mixing, packing, substring_dedup, token_counts, url_filter
-from codelattice.llm.common import materialise, shared_folder
+from codelattice.llm.common import materialise, scratch
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +20,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     real counts by a second batch; the first is sent twice, as after a lost driver."""
     counts = materialise(token_counts.count_tokens(_read(spark, sf_dir, "documents")), "counts")
     guess = counts.withColumn("tokens", F.ceil(F.col("chars") / 4).cast("long"))
-    rollup = token_counts.Rollup(spark, f"{shared_folder(spark).rstrip('/')}/codelattice/rollup-{uuid.uuid4().hex}")
+    rollup = token_counts.Rollup(spark, scratch(spark, "rollup"))
     rollup.commit("0001-load", token_counts.inserts(guess))
     rollup.commit("0002-revise", token_counts.revisions(guess, counts))
     rollup.commit("0001-load", token_counts.inserts(guess))
@@ -71,6 +70,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
 def _mixing_sql() -> str:
     weights = ", ".join(map(str, mixing.WEIGHTS))
     return f"""
@@ -104,13 +106,12 @@ def _url_sql() -> str:
     soft = " + ".join(f"regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::INT" for t in url_filter.SOFT)
     return f"""
 WITH a AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN split_part(split_part(substr(url, instr(url, '://') + 3), '#', 1), '?', 1) ELSE '' END AS rest FROM pages),
-b AS (SELECT page_id, url, lower(split_part(rest, '/', 1)) AS host, substr(rest, length(split_part(rest, '/', 1)) + 1) AS path, lower(coalesce(url, '')) AS low FROM a),
+b AS (SELECT page_id, url, {_LOWER.format("split_part(rest, '/', 1)")} AS host, substr(rest, length(split_part(rest, '/', 1)) + 1) AS path, {_LOWER.format("coalesce(url, '')")} AS low FROM a),
 c AS (SELECT *, CASE {' '.join(fits)} END AS rule, {low} AS strict, {soft} AS soft FROM b)
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
   CASE {verdicts} WHEN strict OR soft >= {url_filter.SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict FROM c"""
 
 
-_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _REACH = """reach(x, y) AS (SELECT id, id FROM node UNION SELECT r.x, p.b FROM reach r JOIN pair p ON r.y = p.a)"""
 
 _NEAR_VECTORS = f"""
@@ -124,7 +125,7 @@ SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, vec_id = compo
 FROM v JOIN c ON vec_id = x LEFT JOIN n ON vec_id = a"""
 
 _NEAR_DOCUMENTS = f"""
-WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS words FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\x20\x09-\x0D]+') AS words FROM documents),
 g AS (SELECT doc_id, CASE WHEN len(words) >= 4 THEN list_transform(range(1, len(words) - 2), lambda i: list_aggregate(words[i:i+3], 'string_agg', ' '))
       WHEN len(words) > 0 THEN [list_aggregate(words, 'string_agg', ' ')] ELSE [] END AS grams FROM w),
 s AS (SELECT doc_id, unnest(list_distinct(grams)) AS gram FROM g),

@@ -5,13 +5,18 @@ follows up to ``?``, ``#`` or the end. A url that is null or has no ``://`` has
 A rule ``host/path`` fits its host and all subdomains where the url's path starts with the rule's; the
 longest rule that fits decides. Where none fits, terms decide: a term counts where the characters beside
 it are no letters or digits; one strict term or ``soft_limit`` distinct soft terms block the url.
-The automaton is built once a task from the vocabulary, and urls pass through it once, in a map without
-a shuffle. Empty urls are allowed. Other columns are not read.
+Letters and digits are those of ASCII, here as in the SQL of the query.
+The vocabulary is a file of terms with their weight, ``strict`` or ``soft`` (``url_terms.tsv`` beside this module, or
+one's own by ``read_terms``). The automaton is built once a task from it, and urls pass through it once, in a map without
+a shuffle. Empty urls are allowed. Urls of any length are read whole; repeated rows are judged each for itself, also
+without a page_id; of rules of one length the last by code point wins. An empty table gives an empty result. Other
+columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from pathlib import Path
 
 import ahocorasick
 import pyarrow as pa
@@ -21,9 +26,21 @@ from pyspark.sql import functions as F
 from codelattice.llm.common import ship
 
 RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
-STRICT = ("casino", "pills", "porn", "spam", "viagra", "warez", "xxx")
-SOFT = ("adult", "bet", "bonus", "cheap", "click", "deal", "farm", "free", "loan", "poker", "promo", "win")
-SOFT_LIMIT = 2
+TERMS, SOFT_LIMIT = Path(__file__).with_name("url_terms.tsv"), 2
+_ALNUM = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def read_terms(path: str | Path) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Strict and soft terms of a file with a term, a tab and its weight on each line; # starts a remark."""
+    found: dict[str, list[str]] = {"strict": [], "soft": []}
+    for line in Path(path).read_text(encoding="utf-8").splitlines():
+        if line.strip() and not line.startswith("#"):
+            term, _, weight = line.partition("\t")
+            found[weight.strip()].append(term)
+    return tuple(found["strict"]), tuple(found["soft"])
+
+
+STRICT, SOFT = read_terms(TERMS)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -61,7 +78,7 @@ def hits(url: str | None, a: ahocorasick.Automaton) -> tuple[set[str], set[str]]
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in url or "")
     for end, (term, weight) in a.iter(low):
         before, after = end - len(term), end + 1
-        if (before < 0 or not low[before].isalnum()) and (after >= len(low) or not low[after].isalnum()):
+        if (before < 0 or low[before] not in _ALNUM) and (after >= len(low) or low[after] not in _ALNUM):
             found[weight].add(term)
     return found[1], found[0]
 

@@ -339,6 +339,24 @@ def test_token_batches_are_signed_and_idempotent(spark, tmp_path):
         rollup.commit("../x", counts)
 
 
+def test_a_batch_committed_during_compaction_counts_once(spark, tmp_path, monkeypatch):
+    counts = token_counts.count_tokens(odd(spark))
+    rollup = token_counts.Rollup(spark, f"{tmp_path}/rollup")
+    rollup.commit("a", token_counts.inserts(counts))
+    listed, late = rollup.committed, []
+
+    def then_another():
+        found = listed()
+        if not late:
+            late.append(True)
+            rollup.commit("b", token_counts.inserts(counts))
+        return found
+
+    monkeypatch.setattr(rollup, "committed", then_another)
+    rollup.compact()
+    assert rollup.totals().agg(F.sum("docs")).first()[0] == 20
+
+
 def test_token_counts_of_odd_rows(spark):
     out = token_counts.count_tokens(odd(spark)).collect()
     assert len(out) == 10 and {r.tokens for r in out if r.doc_id in (1, 2)} == {0}
@@ -365,6 +383,42 @@ def test_language_of_odd_rows(spark):
     assert language_id.annotate(docs, none).count() == 10
 
 
+def test_decoding_against_brute_force():
+    """The nearest codeword by explicit sums, and its share of the likelihoods."""
+    g = np.random.default_rng(8)
+    words = language_id.code(4)
+    model = language_id.Model(list("abcd"), words, g.standard_normal((words.shape[1], 32)).astype(np.float32), g.random(words.shape[1]) + 0.5)
+    for x in g.standard_normal((50, 32)).astype(np.float32):
+        loss = []
+        for word in words:
+            margins = [float(sum(float(w) * float(v) for w, v in zip(line, x, strict=True))) for line in model.weights]
+            loss.append(sum(t * np.log1p(np.exp(-language_id.SHARPNESS * b * m)) for t, b, m in zip(model.trust, word, margins, strict=True)))
+        p = np.exp(min(loss) - np.array(loss))
+        i, score, second = model.decode(x)
+        assert i == int(np.argmin(loss)) and abs(score - p.max() / p.sum()) < 1e-4 and abs(second - np.sort(p)[-2] / p.sum()) < 1e-4
+
+
+def test_letters_are_those_of_unicode(spark):
+    rows = [(i, f"{'the' if i % 2 else 'das'} {'word' if i % 2 else 'wort'} {i}", "en" if i % 2 else "de", None, 1) for i in range(40)]
+    rows += [(100, "½ ² 3", None, None, 1), (101, "ª", None, None, 1), (102, "字", None, None, 1)]
+    docs = spark.createDataFrame([(*r, "x", "y", 1, 2, "k") for r in rows], SCHEMA)
+    out = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs, language_id.train(docs)).collect()}
+    assert out[100] == ("und", 0.0) and out[101][0] != "und" and out[102][0] != "und"
+
+
+def test_the_training_sample_is_bounded(spark, monkeypatch):
+    """Also where all rows have one doc_id; languages beyond half the bound are named in a warning."""
+    sizes, fit = [], language_id.fit
+    monkeypatch.setattr(language_id, "fit", lambda x, y, languages: (sizes.append(len(x)), fit(x, y, languages))[1])
+    rows = [(1, f"word {i} of {i % 7}", "en" if i % 3 else "de", None, 1, "x", "y", 1, 2, "k") for i in range(600)]
+    language_id.train(spark.createDataFrame(rows, SCHEMA), max_docs=100)
+    assert sizes == [100]
+    many = [(4 * i, f"word {i}", f"l{i}", None, 1, "x", "y", 1, 2, "k") for i in range(40)]
+    with pytest.warns(UserWarning, match="languages are left out"):
+        model = language_id.train(spark.createDataFrame(many, SCHEMA), max_docs=20)
+    assert len(model.languages) == 10 and sizes[1] <= 20
+
+
 def test_codes_are_apart():
     for k in (2, 3, 4, 7, 12):
         c = language_id.code(k)

@@ -28,6 +28,9 @@ def test_urls(spark):
         "http://spam-farm.org/x": ("spam-farm.org", "/x", None, "block"),
         "http://cheap-farm.org/x": ("cheap-farm.org", "/x", None, "block"),
         "http://cheap.org/cheap?cheap": ("cheap.org", "/cheap", None, "allow"),
+        "http://x.org/écasino": ("x.org", "/écasino", None, "block"),
+        "http://É.Org/xcasino": ("É.org", "/xcasino", None, "allow"),
+        f"http://x.org/{'a-' * 200_000}warez": ("x.org", f"/{'a-' * 200_000}warez", None, "block"),
         "http://spammer.org/freedom/Winter": ("spammer.org", "/freedom/Winter", None, "allow"),
     }
     rows = list(cases.items())
@@ -39,6 +42,12 @@ def test_urls(spark):
     assert url_filter.judge(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_terms_come_from_a_file(tmp_path):
+    (tmp_path / "terms").write_text("# remark\nfoo\tstrict\nbar\tsoft\nbaz qux\tsoft\n")
+    assert url_filter.read_terms(tmp_path / "terms") == (("foo",), ("bar", "baz qux"))
+    assert len(url_filter.STRICT) > 20 and len(url_filter.SOFT) > 50 and not set(url_filter.STRICT) & set(url_filter.SOFT)
+
+
 def text(source):
     return Page(source).main_text(set())
 
