@@ -10,11 +10,13 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelattice import api
+from codelattice.functions.names import excluded
 from codelattice.operators import extraction, loading
 from codelattice.session import session
 from codelattice.sources import git
@@ -28,20 +30,17 @@ def sources(spark: SparkSession, folder: str, extensions: str = "py", skipped: t
     root = os.path.abspath(folder)
     found = extraction.read_sources(spark, folder, f"*.{{{extensions}}}")
     found = found.withColumn("path", F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), "^" + "".join("\\" + c if not c.isalnum() and c != "/" else c for c in root) + "/?", ""))
-    path = F.col("path")
-    rules = os.path.join(root, ".gitignore")
-    if ignore and os.path.exists(rules):
+    rules = extraction.find_rules(root) if ignore else None
+    patterns: list[str] = []
+    if rules:
         with open(rules) as f:
-            found = found.where(~extraction.ignored(path, f.read().splitlines()))
-    for x in skipped:
-        found = found.where(~path.contains(x))
-    for n, x in enumerate(wanted):
-        any_of = path.contains(x) if n == 0 else any_of | path.contains(x)
-    return found.where(any_of) if wanted else found
+            patterns = f.read().splitlines()
+    return extraction.wanted_paths(found, extensions.split(","), skipped, wanted, patterns)
 
 
 def _extracted(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return extraction.extract(sources(spark, a.folder, a.extensions, tuple(a.exclude), tuple(a.include), not a.no_gitignore))
+    found = sources(spark, a.folder, a.extensions, tuple(a.exclude), tuple(a.include), not a.no_gitignore)
+    return extraction.extract(found, rules=extraction.Rules(excluded(a.exclude_keywords)))
 
 
 def _read(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -55,7 +54,7 @@ def extract(spark: SparkSession, a: argparse.Namespace) -> None:
 def optimize(spark: SparkSession, a: argparse.Namespace) -> None:
     """Writes to another folder, since a table can't be read and replaced at once."""
     nodes, edges, types = _read(spark, a.folder)
-    reasons = loading.node_reasons(nodes, edges)
+    reasons = loading.node_reasons(nodes, edges, excluded(a.exclude_keywords))
     gone = F.col("is_excluded")
     if not a.keep_generic:
         gone = gone | F.col("is_generic")
@@ -67,12 +66,14 @@ def optimize(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def _settings(a: argparse.Namespace) -> api.Settings:
-    s = api.Settings(seed=a.seed, ratio=a.ratio, final_dim=a.dim, walks=a.walks, length=a.length)
+    s = api.Settings(seed=a.seed, ratio=a.ratio, walks=a.walks, length=a.length)
+    s = s.legacy() if a.profile == "legacy" else s
+    s = replace(s, final_dim=a.dim) if a.dim else replace(s, automatic=True)
     return s.quick() if a.fast else s
 
 
 def train(spark: SparkSession, a: argparse.Namespace) -> None:
-    api.train(*_read(spark, a.folder), a.model, _settings(a), git.head(a.code) if a.code else None)
+    api.train(*_read(spark, a.folder), a.model, _settings(a), *((git.head(a.code), git.commit_time(a.code)) if a.code else ()))
 
 
 def retrain(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -83,22 +84,32 @@ def retrain(spark: SparkSession, a: argparse.Namespace) -> None:
         print("nothing has changed")
         return
     wanted = spark.createDataFrame([(f,) for f in files], "file string")
-    api.train(*loading.changed_only(*_extracted(spark, a), wanted), a.out, old.settings, git.head(a.folder))
+    api.train(*loading.changed_only(*_extracted(spark, a), wanted), a.out, old.settings, git.head(a.folder), git.commit_time(a.folder))
 
 
-def query(spark: SparkSession, a: argparse.Namespace) -> None:
-    model = api.Model(spark, a.model)
-    found = model.similar([a.symbol], a.top_k, a.exclude) if a.symbol else model.search(a.keywords, a.top_k, a.exclude)
-    rows = [r.asDict() for r in found.orderBy("rank").collect()]  # at most top_k
+def query(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Asks the model in a folder, or every model found below it."""
+    models = [a.model] if a.no_recursive else api.discover(a.model)
     asked = {"symbol": a.symbol} if a.symbol else {"keywords": a.keywords}
+    rows: list[dict] = []
+    for path in models:
+        model = api.Model(spark, path)
+        found = model.similar([a.symbol], a.top_k, a.exclude) if a.symbol else model.search(a.keywords, a.top_k, a.exclude, a.case_sensitive)
+        rows += [r.asDict() | ({"model": path} if len(models) > 1 else {}) for r in found.orderBy("rank").collect()]  # at most top_k each
+    if a.full:
+        for row in rows:
+            row["code"] = api.code_of(row["file"], row["lineno"], row["end_lineno"], a.code)
     print((api.as_toon if a.format == "toon" else api.as_json)(rows, asked))
+    return 0 if models else 1
 
 
 def validate(spark: SparkSession, a: argparse.Namespace) -> int:
-    """Shows missing references; 1 if there are any."""
+    """Shows missing fields, numbers that are none and missing references; 1 if there are any."""
+    wrong = api.field_report(spark, *[f"{a.folder}/{x}" for x in ("nodes", "edges", "types")])
     report = loading.reference_report(*_read(spark, a.folder)).orderBy("place")
+    wrong.show(truncate=False)
     report.show(truncate=False)
-    return int(not report.isEmpty())
+    return int(not report.isEmpty() or not wrong.where("n > 0").isEmpty())
 
 
 def stats(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -125,6 +136,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--exclude", nargs="*", default=list(SKIPPED))
         c.add_argument("--include", nargs="*", default=[])
         c.add_argument("--no-gitignore", action="store_true")
+        c.add_argument("--exclude-keywords", nargs="*", default=[])
     c.add_argument("--model", required=True)
     c.add_argument("--force", action="store_true")
     c = command(optimize, "folder")
@@ -132,11 +144,13 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--min-weight", type=float, default=0.3)
     c.add_argument("--keep-isolated", action="store_true")
     c.add_argument("--keep-generic", action="store_true")
+    c.add_argument("--exclude-keywords", nargs="*", default=[])
     c = command(train, "folder")
     c.add_argument("--model", required=True)
     c.add_argument("--code", help="the folder of the sources, to remember its commit")
     c.add_argument("--fast", action="store_true")
-    for name, kind, default in (("dim", int, 64), ("walks", int, 10), ("length", int, 80), ("ratio", float, 0.8), ("seed", int, 42)):
+    c.add_argument("--profile", choices=("current", "legacy"), default="current")
+    for name, kind, default in (("dim", int, None), ("walks", int, 10), ("length", int, 80), ("ratio", float, 0.8), ("seed", int, 42)):
         c.add_argument(f"--{name}", type=kind, default=default)
     c = command(query, "model")
     what = c.add_mutually_exclusive_group(required=True)
@@ -145,6 +159,10 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--top-k", type=int, default=10)
     c.add_argument("--exclude", nargs="*", default=[])
     c.add_argument("--format", choices=("json", "toon"), default="json")
+    c.add_argument("--case-sensitive", action="store_true")
+    c.add_argument("--no-recursive", action="store_true")
+    c.add_argument("--full", action="store_true", help="with the code of each result")
+    c.add_argument("--code", default=".", help="the folder of the sources")
     command(validate, "folder")
     command(stats, "folder")
     return p

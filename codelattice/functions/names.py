@@ -1,10 +1,11 @@
-"""Names that say nothing about a program: built by rule from the running Python, plus a short list."""
+"""Names that say nothing about a program: built by rule from the running Python, plus short lists."""
 
 from __future__ import annotations
 
 import builtins
 import keyword
 import sys
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,10 +17,18 @@ GENERIC = (
 ).split()
 
 
-def excluded() -> frozenset[str]:
-    """Keywords, builtins and modules of the standard library."""
+#: Names of attributes, of what older Pythons had, and of variables that aren't useful.
+ATTRIBUTES = "__init__ __main__ __name__ __file__ __doc__ __package__ __builtins__ __dict__ __class__ __module__ __qualname__ __future__".split()
+RETIRED = "file reduce fpectl future macpath symbol parser lib2to3 distutils test xdrlib".split()
+COMMON = "self cls args kwargs data result value item key val obj instance other x y z i j k n m p q r s t u v w".split()
+
+
+def excluded(more: Iterable[str] = ()) -> frozenset[str]:
+    """Keywords, builtins and modules of the standard library, the lists above, and ``more`` in lower case. Names are
+    looked up in lower case, so entries with capitals exclude nothing."""
     modules = {m for m in sys.stdlib_module_names if not m.startswith("_")}
-    return frozenset({*keyword.kwlist, *(b for b in dir(builtins) if not b.startswith("_")), *modules, "self", "cls", "__init__", "__main__", "__name__"})
+    names = {*keyword.kwlist, *(b for b in dir(builtins) if not b.startswith("_")), *modules, *ATTRIBUTES, *RETIRED, *COMMON}
+    return frozenset(names | {n.lower() for n in more})
 
 
 def is_generic(name: Column, kind: Column) -> Column:

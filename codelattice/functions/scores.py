@@ -38,13 +38,27 @@ def hybrid(dense: Column, lexical: Column, types: Column, place: Column) -> Colu
     return sum((w * c for w, c in zip(HYBRID[1:], (lexical, types, place), strict=True)), HYBRID[0] * dense)
 
 
+def plain_hybrid(cosine: Column, norm: Column, mean_norm: float | None, context: Column) -> Column:
+    """Cosine less 0.05 for each unit that the norm lies above the mean, and 0.15 times the likeness of scopes. Fixed values."""
+    over = F.greatest(F.coalesce(norm - F.lit(mean_norm).cast("double"), F.lit(0.0)), F.lit(0.0))
+    return cosine - 0.05 * over + 0.15 * context
+
+
+def softmax(x: Column, tau: Column) -> Column:
+    """Probabilities of an array of scores at a temperature."""
+    most = F.array_max(x)
+    e = F.transform(x, lambda v: F.exp((v - most) / tau))
+    total = F.aggregate(e, F.lit(0.0), lambda a, v: a + v)
+    return F.transform(e, lambda v: v / total)
+
+
 def jaccard(x: Column, y: Column) -> Column:
     a, b = F.split(x, r"\s+"), F.split(y, r"\s+")
     return F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1))
 
 
 def keyword_score(name: Column, kind: Column, types: Column, words: list[str]) -> Column:
-    """The ladder of matches of a phrase, then of its words, with name, kind and type tokens (lower case)."""
+    """The ladder of matches of a phrase, then of its words, with name, kind and type tokens. Its scores."""
     phrase, n = " ".join(words), len(words)
     has = lambda c, w: F.contains(c, F.lit(w))
     count = lambda test: sum((test(w).cast("int") for w in words), F.lit(0))

@@ -68,11 +68,21 @@ def hierarchy(path: Column) -> tuple[Column, Column, Column]:
 
 
 def sanitised(s: Column) -> Column:
-    """A name as part of an id: letters and digits, others folded to one underscore, 50 characters at most."""
-    x = F.btrim(F.regexp_replace(s, r"[^\p{L}\p{N}]+", "_"), F.lit("_"))
+    """A name as part of an id: ASCII letters and digits, others folded to one underscore, 50 characters at most."""
+    x = F.btrim(F.regexp_replace(s, r"[^a-zA-Z0-9]+", "_"), F.lit("_"))
     return F.lower(F.coalesce(F.nullif(F.substring(x, 1, 50), F.lit("")), F.lit("unnamed")))
 
 
+#: Words of a question that say nothing.
+QUESTION = "how what where when why who which do does did is are was were the a an to in on at for of with by from as i you we they it this that".split()
+
+
+def question_keywords(s: Column) -> Column:
+    """Words of a question of three letters or more that say something, 50 characters at most; else its beginning."""
+    words = F.filter(F.regexp_extract_all(F.lower(s), F.lit(r"([\p{L}\p{N}_]+)"), 1), lambda w: ~w.isin(*QUESTION) & (F.length(w) > 2))
+    return F.coalesce(F.nullif(F.substring(F.array_join(words, " "), 1, 50), F.lit("")), F.substring(s, 1, 50))
+
+
 def type_constructors(t: Column) -> Column:
     """Names that open a bracket in a type token, in order."""
     return F.regexp_extract_all(t, F.lit(r"([A-Z]\w*)\s*\["), 1)

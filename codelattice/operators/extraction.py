@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import ast
 import fnmatch
+import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +24,31 @@ def read_sources(spark: SparkSession, folder: str, pattern: str = "*.py") -> Dat
     return files.select("path", F.decode("content", "UTF-8").alias("content"))
 
 
+def find_rules(folder: str) -> str | None:
+    """The ignore file of a folder or of the nearest one above it."""
+    at = os.path.realpath(folder)
+    while True:
+        if os.path.exists(found := os.path.join(at, ".gitignore")):
+            return found
+        if at == os.path.dirname(at):
+            return None
+        at = os.path.dirname(at)
+
+
+def wanted_paths(files: DataFrame, extensions: Sequence[str] = ("py",), skipped: Sequence[str] = (), wanted: Sequence[str] = (), patterns: Sequence[str] = ()) -> DataFrame:
+    """Rows (path, ...) with one of the extensions that hold no skipped part, are not ignored and, if any is asked for, hold
+    a wanted part."""
+    path = F.col("path")
+    out = files.where(F.lower(F.substring_index("path", ".", -1)).isin(*[x.lower() for x in extensions]) & path.contains("."))
+    for x in skipped:
+        out = out.where(~path.contains(x))
+    if patterns:
+        out = out.where(~ignored(path, list(patterns)))
+    if wanted:
+        out = out.where(reduce(or_, [path.contains(x) for x in wanted]))
+    return out
+
+
 def ignored(path: Column, patterns: list[str]) -> Column:
     """Whether ignore patterns cover a relative path: the last that matches wins, ``!`` takes back."""
     out = F.lit(False)
@@ -43,47 +72,66 @@ def _clean(name: str) -> str:
     return (re.sub(r"[^0-9a-zA-Z]+", "_", name).strip("_")[:50] or "unnamed").lower()
 
 
+@dataclass(frozen=True)
+class Rules:
+    """Names (lower case) that are no symbols; whether annotated assignments count; whether symbols have end lines."""
+
+    without: frozenset[str] = frozenset()
+    annotated: bool = True
+    ends: bool = True
+
+
 class _File(ast.NodeVisitor):
     """Rows of one file. Functions are nearer than classes, classes nearer than the file."""
 
-    def __init__(self, path: str):
-        self.path, self.ids, self.nodes, self.edges, self.types = path, {}, {}, {}, {}
-        self.classes: list[str] = []
-        self.functions: list[str] = []
-        self.root = self.symbol("file", path.rsplit("/", 1)[-1], 1, None)
+    def __init__(self, path: str, tree: ast.Module, rules: Rules):
+        self.path, self.rules, self.ids, self.nodes, self.edges, self.types = path, rules, {}, {}, {}, {}
+        self.classes: list[str | None] = []
+        self.functions: list[str | None] = []
+        last = max((getattr(n, "end_lineno", None) or 0 for n in ast.walk(tree)), default=0)
+        self.name = path.rsplit("/", 1)[-1]
+        self.symbol("file", self.name, 1, last if last > 1 else None)
+
+    @property
+    def root(self) -> str:
+        return self.ref("file", self.name)
 
     def ref(self, kind: str, name: str) -> str:
-        return self.ids.setdefault((kind, name), f"{kind}_{_clean(name)}_{len(self.ids):04d}")
+        return self.ids.setdefault((kind, name), f"{kind}_{_clean(name)}_{len(self.ids) + 1:04d}")
 
-    def symbol(self, kind: str, name: str, first: int, last: int | None, **more) -> str:
+    def symbol(self, kind: str, name: str, first: int, last: int | None, **more) -> str | None:
+        """The symbol's id; None for names that are left out, whose edges and types go with them."""
+        if name.lower() in self.rules.without:
+            return None
         key = self.ref(kind, name)
-        self.nodes.setdefault(key, {"kind": kind, "name": name, "first": first, "last": last, **more})
+        self.nodes.setdefault(key, {"kind": kind, "name": name, "first": first, "last": last if self.rules.ends else None, **more})
         return key
 
-    def edge(self, src: str, dst: str, rel: str, weight: float = 1.0) -> None:
-        self.edges[src, dst, rel] = max(weight, self.edges.get((src, dst, rel), 0.0))
+    def edge(self, src: str | None, dst: str | None, rel: str, weight: float = 1.0) -> None:
+        if src and dst:
+            self.edges[src, dst, rel] = max(weight, self.edges.get((src, dst, rel), 0.0))
 
-    def typed(self, symbol: str, annotation: ast.expr | None) -> None:
-        if annotation is not None:
+    def typed(self, symbol: str | None, annotation: ast.expr | None) -> None:
+        if symbol and annotation is not None:
             t = (symbol, ast.unparse(annotation))
             self.types[t] = self.types.get(t, 0) + 1
 
     def scope(self) -> str | None:
-        return self.functions[-1] if self.functions else self.classes[-1] if self.classes else None
+        return (self.functions and self.functions[-1]) or (self.classes and self.classes[-1]) or None
 
     def visit_ClassDef(self, node: ast.ClassDef) -> None:
-        bases = [b.id for b in node.bases if isinstance(b, ast.Name)]
-        me = self.symbol("class", node.name, node.lineno, node.end_lineno, bases=bases)
+        me = self.symbol("class", node.name, node.lineno, node.end_lineno, bases=[ast.unparse(b) for b in node.bases])
         self.edge(self.root, me, "defines_in_file")
-        for b in bases:
-            self.edge(me, self.ref("class", b), "inherits")
+        for b in node.bases:
+            if isinstance(b, ast.Name):
+                self.edge(me, self.ref("class", b.id), "inherits")
         self.classes.append(me)
         self.generic_visit(node)
         self.classes.pop()
 
     def visit_FunctionDef(self, node: ast.FunctionDef | ast.AsyncFunctionDef) -> None:
         me = self.symbol("function", node.name, node.lineno, node.end_lineno, n=len(node.args.args))
-        self.edge(self.classes[-1] if self.classes else self.root, me, "defines_in_file")
+        self.edge((self.classes and self.classes[-1]) or self.root, me, "defines_in_file")
         self.typed(me, node.returns)
         for a in node.args.args:
             self.typed(me, a.annotation)
@@ -112,19 +160,20 @@ class _File(ast.NodeVisitor):
                     self.edge(caller, self.ref("var", a.id), "cooccurs", 0.5)
         self.generic_visit(node)
 
-    def variable(self, target: ast.expr, annotation: ast.expr | None) -> None:
+    def variable(self, node: ast.Assign | ast.AnnAssign, target: ast.expr, annotation: ast.expr | None) -> None:
         if isinstance(target, ast.Name):
-            me = self.symbol("var", target.id, target.lineno, None)
+            me = self.symbol("var", target.id, node.lineno, node.end_lineno)
             self.edge(self.scope() or self.root, me, "defines_in_file")
             self.typed(me, annotation)
 
     def visit_Assign(self, node: ast.Assign) -> None:
         for t in node.targets:
-            self.variable(t, None)
+            self.variable(node, t, None)
         self.generic_visit(node)
 
     def visit_AnnAssign(self, node: ast.AnnAssign) -> None:
-        self.variable(node.target, node.annotation)
+        if self.rules.annotated:
+            self.variable(node, node.target, node.annotation)
         self.generic_visit(node)
 
     def visit_Name(self, node: ast.Name) -> None:
@@ -140,26 +189,30 @@ class _File(ast.NodeVisitor):
             yield self.path, "type", symbol, token, None, None, None, None, n, None
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parse(rules: Rules):
     kinds = [pa.string()] * 5 + [pa.float64()] + [pa.int32()] * 3 + [pa.list_(pa.string())]
-    for batch in batches:
-        rows: list[tuple] = []
-        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-            try:
-                tree = ast.parse(content or "")
-                file = _File(path)
-                file.visit(tree)
-            except (SyntaxError, ValueError, RecursionError):  # a file that can't be parsed has no symbols
-                continue
-            rows += file.rows()
-        cols = zip(*rows, strict=True) if rows else [()] * len(kinds)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [f.split()[0] for f in SCHEMA.split(", ")])
-
-
-def extract(sources: DataFrame, qualified: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                try:
+                    tree = ast.parse(content or "")
+                    file = _File(path, tree, rules)
+                    file.visit(tree)
+                except (SyntaxError, ValueError, RecursionError):  # a file that can't be parsed has no symbols
+                    continue
+                rows += file.rows()
+            cols = zip(*rows, strict=True) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [f.split()[0] for f in SCHEMA.split(", ")])
+
+    return run
+
+
+def extract(sources: DataFrame, qualified: bool = True, rules: Rules = Rules()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, edges and types of (path, content). Ids are numbered per file; qualified ids carry a digest of
     the path, so that they can't collide, else the first path keeps an id."""
-    rows = sources.mapInArrow(_parse, SCHEMA)
+    rows = sources.mapInArrow(_parse(rules), SCHEMA)
     of = (lambda c: F.concat(F.col(c), F.lit("@"), F.substring(F.md5(F.col("path").cast("binary")), 1, 12))) if qualified else F.col
     nodes = rows.where("part = 'node'").select(of("a").alias("id"), F.col("b").alias("kind"), F.col("c").alias("name"), F.col("path").alias("file"), F.col("first").alias("lineno"), F.col("last").alias("end_lineno"), F.col("n").alias("args"), "bases")
     nodes = nodes.groupBy("id").agg(F.min_by(F.struct("kind", "name", "file", "lineno", "end_lineno", "args", "bases"), F.struct("file", "lineno")).alias("x")).select("id", "x.*")

@@ -24,6 +24,19 @@ def ordinal(rows: DataFrame, key: str, name: str) -> DataFrame:
     return cut.withColumn("__place", place).join(counts, "__bucket").withColumn(name, F.col("__before") + F.col("__place")).drop("__bucket", "__place", "__before")
 
 
+def ordinal_in_groups(rows: DataFrame, group: str, key: str, name: str) -> DataFrame:
+    """Numbers from 0 within each group in the order of a numeric key whose values are nearly all different, as
+    ``ordinal`` does it: a hot group is numbered bucket by bucket."""
+    low, high, n = rows.agg(F.min(key), F.max(key), F.count("*")).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // max(1, -(-n // BUCKET))))
+    cut = rows.withColumn("__bucket", F.floor((F.col(key) - F.lit(low or 0)) / width))
+    counts = cut.groupBy(group, "__bucket").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(group, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy(group, "__bucket").orderBy(key)) - 1
+    return cut.withColumn("__place", place).join(counts, [group, "__bucket"]).withColumn(name, F.col("__before") + F.col("__place")).drop("__bucket", "__place", "__before")
+
+
 def index_nodes(nodes: DataFrame) -> DataFrame:
     """The first node of each id (by ord) with its index."""
     first = nodes.groupBy("id").agg(F.min_by(F.struct(*[c for c in nodes.columns if c != "id"]), "ord").alias("x")).select("id", "x.*")
@@ -58,6 +71,29 @@ def field_errors(rows: DataFrame, required: list[str]) -> DataFrame:
     return rows.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in required])
 
 
+def number_errors(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """How many rows hold something else than a number in each field, given as text."""
+    return rows.agg(*[F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull()).alias(c) for c in fields])
+
+
+def distinct_files(nodes: DataFrame) -> DataFrame:
+    """The files that nodes name."""
+    return nodes.where("file <> ''").select("file").distinct()
+
+
+def of_files(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows (with a column file) of the files, and rows without a file."""
+    wanted = files.select(F.col("file").alias("__file")).distinct()
+    inside = rows.where("file <> ''").join(wanted, F.col("file") == F.col("__file"), "left_semi")
+    return inside.unionByName(rows.where("file is null or file = ''"))
+
+
+def directed_degrees(edges: DataFrame) -> DataFrame:
+    """idx, outgoing, incoming of the ends of indexed edges."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("src_idx").alias("idx"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst_idx").alias("idx"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e"))
+    return ends.groupBy("e.idx").agg(F.sum("e.o").alias("outgoing"), F.sum("e.i").alias("incoming"))
+
+
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, degree: ends of edges whose both ends are known."""
     ids = nodes.select("id").distinct()

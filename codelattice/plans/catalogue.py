@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codelattice import api
 from codelattice.functions import scores, text, vectors
 from codelattice.functions.names import GENERIC, excluded
 from codelattice.operators import extraction, graph, loading, models, retrieval
+from codelattice.session import shared_folder
 from codelattice.sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,8 +111,95 @@ def top_type_tokens(spark, d):
     return loading.distribution(T.types(spark, d), "type_token", 10).withColumn("percent", r6("percent"))
 
 
+def _through_lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables, written as JSON lines and read again."""
+    folder = f"{shared_folder(spark).rstrip('/')}/codelattice-lines-{uuid.uuid4().hex}"
+    api.to_jsonl(T.nodes(spark, d), T.edges(spark, d), T.types(spark, d), folder)
+    return api.from_jsonl(spark, *[f"{folder}/{x}" for x in ("nodes", "edges", "types")])
+
+
+@query(sql("SELECT id, kind, name, file, lineno, end_lineno FROM n"))
+def lines_of_nodes(spark, d):
+    return _through_lines(spark, d)[0]
+
+
+@query(sql("SELECT src, dst, rel, weight FROM e"))
+def lines_of_edges(spark, d):
+    return _through_lines(spark, d)[1]
+
+
+@query(sql("SELECT symbol, type_token, count FROM t"))
+def lines_of_types(spark, d):
+    return _through_lines(spark, d)[2]
+
+
+@query(sql("SELECT idx, file, lineno FROM i WHERE lineno >= 0"))
+def location_map(spark, d):
+    return graph.locations(loading.index_nodes(T.nodes(spark, d)))
+
+
+@query(sql("SELECT DISTINCT file FROM n"))
+def distinct_files(spark, d):
+    return loading.distinct_files(T.nodes(spark, d))
+
+
+@query(sql("SELECT idx, sum(o)::BIGINT AS outgoing, sum(k)::BIGINT AS incoming FROM (SELECT src_idx AS idx, 1 AS o, 0 AS k FROM x UNION ALL SELECT dst_idx, 0, 1 FROM x) GROUP BY 1"))
+def directed_degrees(spark, d):
+    return loading.directed_degrees(_indexed(spark, d)[1])
+
+
+@query(sql("SELECT count(*) FILTER (ord % 7 = 0) AS kind, count(*) FILTER (ord % 11 = 0) AS name, 0::BIGINT AS id FROM n"))
+def missing_fields(spark, d):
+    n = T.nodes(spark, d)
+    n = n.withColumn("kind", F.when(F.col("ord") % 7 != 0, F.col("kind"))).withColumn("name", F.when(F.col("ord") % 11 != 0, F.col("name")))
+    return loading.field_errors(n, ["id", "kind", "name"])
+
+
+@query(sql("SELECT count(*) FILTER (count = 3) AS count FROM t"))
+def wrong_numbers(spark, d):
+    t = T.types(spark, d).withColumn("count", F.when(F.col("count") == 3, F.lit("3 or so")).when(F.col("count") == 2, F.lit("2e0")).otherwise(F.col("count").cast("string")))
+    return loading.number_errors(t, ["count"])
+
+
+@query(sql("SELECT id, CASE WHEN ord % 10 <> 0 THEN file END AS file FROM n WHERE ord % 10 = 0 OR file IN (SELECT file FROM n WHERE lineno = 7)"))
+def rows_of_files(spark, d):
+    n = T.nodes(spark, d)
+    rows = n.select("id", F.when(F.col("ord") % 10 != 0, F.col("file")).alias("file"))
+    return loading.of_files(rows, n.where("lineno = 7").select("file"))
+
+
+@query(
+    sql("""SELECT path FROM (SELECT DISTINCT file AS path FROM n) WHERE NOT contains(path, 'Brand_3')
+    AND NOT CASE WHEN suffix(path, '/promo.py') THEN true WHEN contains(path, '/Brand_12/') THEN false WHEN contains(path, '/Brand_1') THEN true ELSE false END
+    AND (contains(path, 'Brand_1') OR contains(path, 'Brand_2'))""")
+)
+def wanted_paths(spark, d):
+    paths = T.nodes(spark, d).select(F.col("file").alias("path")).distinct()
+    other = paths.select(F.replace("path", F.lit(".py"), F.lit(".txt")).alias("path"))
+    return extraction.wanted_paths(paths.unionByName(other), ["py"], ["Brand_3"], ["Brand_1", "Brand_2"], ["# remark", "Brand_1*", "!Brand_12", "promo.py"])
+
+
 # ------------------------------------------------------------------ strings
-_CAMEL_SQL = r"list_filter(regexp_split_to_array(regexp_replace(regexp_replace(s, '([A-Z]+)([A-Z][a-z0-9])', '\1 \2', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[^A-Za-z0-9]+'), lambda y: y <> '')"
+def _camel_sql(x: str) -> str:
+    return rf"list_filter(regexp_split_to_array(regexp_replace(regexp_replace({x}, '([A-Z]+)([A-Z][a-z0-9])', '\1 \2', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[^A-Za-z0-9]+'), lambda y: y <> '')"
+
+
+def _numeric_sql(x: str) -> str:
+    return f"flatten(list_transform(regexp_extract_all({x}, '[0-9]+|[^0-9]+'), lambda r: CASE WHEN regexp_matches(r, '^[0-9]') THEN [r] ELSE {_camel_sql('r')} END))"
+
+
+def _subtokens_sql(x: str) -> str:
+    pieces = rf"list_filter(regexp_split_to_array({x}, '[_\-\s.]+'), lambda y: y <> '')"
+    parts = f"flatten(list_transform({pieces}, lambda p: list_concat({_camel_sql('p')}, {_numeric_sql('p')})))"
+    return f"list_sort(list_distinct(list_filter(list_concat(list_concat({parts}, string_split({x}, '_')), string_split({x}, '-')), lambda y: y <> '')))"
+
+
+def _normalised_sql(x: str) -> str:
+    mark = text.PUNCTUATION.replace("'", "''")
+    return f"list_filter(list_transform(list_transform({_subtokens_sql(x)}, lambda z: trim(z, '{mark}')), lambda z: lower({_stem_sql('z')})), lambda y: y <> '')"
+
+
+_CAMEL_SQL = _camel_sql("s")
 _NAMES_SQL = "SELECT DISTINCT s FROM (SELECT p_name AS s FROM part UNION ALL SELECT p_type FROM part UNION ALL SELECT s_name FROM supplier UNION ALL SELECT 'getHTTP' || p_brand || 'ofSize' || p_size FROM part)"
 
 
@@ -135,11 +225,30 @@ def stems(spark, d):
     return words.select("w", text.stem(F.col("w")).alias("stem"))
 
 
-@query()
+@query(f"SELECT s, array_to_string({_subtokens_sql('s')}, '|') AS raw, array_to_string({_normalised_sql('s')}, '|') AS normal FROM ({_NAMES_SQL})")
 def subtokens_normalised(spark, d):
     return _names(spark, d).select("s", F.array_join(text.subtokens(F.col("s")), "|").alias("raw"), F.array_join(text.normalised(F.col("s")), "|").alias("normal"))
 
 
+_MIXED_SQL = f"SELECT s, replace(replace(s, '#', '_'), ' ', '-') AS t FROM ({_NAMES_SQL})"
+
+
+@query(f"SELECT s, array_to_string(list_filter(string_split(t, '_'), lambda y: y <> ''), '|') AS snake, array_to_string(list_filter(string_split(t, '-'), lambda y: y <> ''), '|') AS kebab, array_to_string({_numeric_sql('t')}, '|') AS numbers FROM ({_MIXED_SQL})")
+def subtoken_pieces(spark, d):
+    t = F.replace(F.replace("s", F.lit("#"), F.lit("_")), F.lit(" "), F.lit("-"))
+    return _names(spark, d).select("s", *[F.array_join(f(t), "|").alias(n) for f, n in ((text.snake, "snake"), (text.kebab, "kebab"), (text.numeric, "numbers"))])
+
+
+@query(f"""SELECT doc_id, coalesce(nullif(substr(array_to_string(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 2 AND w NOT IN ({', '.join(f"'{w}'" for w in text.QUESTION)})), ' '), 1, 50), ''), substr(text, 1, 50)) AS words FROM documents""")
+def question_words(spark, d):
+    return T.parquet(spark, d, "documents").select("doc_id", text.question_keywords(F.col("text")).alias("words"))
+
+
+@query(sql(r"SELECT symbol, array_to_string(list_transform(string_split(regexp_extract(type_token, '^[^\[]*\[(.*)\]', 1), ','), lambda y: lower(trim(y))), '|') AS inside FROM t"))
+def types_inside(spark, d):
+    return T.types(spark, d).select("symbol", F.array_join(text.inner_types(F.col("type_token")), "|").alias("inside"))
+
+
 _HIERARCHY_SQL = r"""SELECT page_id, list_last(parts) AS name, array_to_string(parts[1:len(parts)-1], '/') AS folder,
 coalesce(list_filter(parts, lambda y: y NOT IN ('', '.', '..'))[1], '') AS top FROM (SELECT page_id, string_split(url, '/') AS parts FROM pages)"""
 
@@ -150,7 +259,7 @@ def file_hierarchy(spark, d):
     return T.parquet(spark, d, "pages").select("page_id", name.alias("name"), folder.alias("folder"), top.alias("top"))
 
 
-@query("SELECT page_id, lower(coalesce(nullif(substr(trim(regexp_replace(url, '[^\\p{L}\\p{N}]+', '_', 'g'), '_'), 1, 50), ''), 'unnamed')) AS clean FROM pages")
+@query("SELECT page_id, lower(coalesce(nullif(substr(trim(regexp_replace(url, '[^a-zA-Z0-9]+', '_', 'g'), '_'), 1, 50), ''), 'unnamed')) AS clean FROM pages")
 def sanitize_name(spark, d):
     return T.parquet(spark, d, "pages").select("page_id", text.sanitised(F.col("url")).alias("clean"))
 
@@ -208,7 +317,48 @@ def changed_files_filter(spark, d):
     return loading.changed_only(n, T.edges(spark, d), T.types(spark, d), files)[1]
 
 
+def _changed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    n = T.nodes(spark, d).withColumn("file", F.concat("file", F.lit("/"), F.col("lineno").cast("string"), F.lit(".py")))
+    return loading.changed_only(n, T.edges(spark, d), T.types(spark, d), n.where("lineno % 5 = 0").select(F.substring_index("file", "/", -2).alias("file")))
+
+
+@query(sql("SELECT id, kind, name, lineno FROM n WHERE lineno % 5 = 0"))
+def changed_nodes(spark, d):
+    return _changed(spark, d)[0].select("id", "kind", "name", "lineno")
+
+
+@query(sql("SELECT symbol, type_token, count FROM t JOIN n ON symbol = id WHERE lineno % 5 = 0"))
+def changed_types(spark, d):
+    return _changed(spark, d)[2]
+
+
 # ------------------------------------------------------------------ derived edges
+_CALLERS = "SELECT src, count(DISTINCT dst) AS n FROM e WHERE rel = 'calls' GROUP BY 1 ORDER BY n DESC, src LIMIT 50"
+
+
+@query(sql(_CALLERS))
+def top_callers(spark, d):
+    return graph.top_callers(T.edges(spark, d).where("rel = 'calls'"), 50)
+
+
+def _limited_sql(starts: int, edges: int, neighbours: int, queue: int) -> str:
+    """Two further levels with all limits."""
+    a = f""", c AS (SELECT src, dst, max(weight) AS w FROM e WHERE rel = 'calls' GROUP BY 1, 2), deg AS (SELECT src, count(*) AS n FROM c GROUP BY 1), st AS (SELECT src FROM deg ORDER BY n DESC, src LIMIT {starts}),
+a AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) AS pos FROM c), b AS (SELECT * FROM a WHERE pos <= {neighbours}),
+l1 AS (SELECT src AS s, dst AS node, pos AS rank, w AS cum, pos AS q FROM b WHERE src IN (SELECT src FROM st) AND src <> dst)"""
+    for k, f, seen in ((2, 0.5, "SELECT s, node FROM l1"), (3, 0.25, "SELECT s, node FROM l1 UNION ALL SELECT s, node FROM l2")):
+        a += f""", s{k} AS ({seen}), l{k} AS (SELECT s, node, rank, cum, rank + (SELECT count(*) FROM s{k} z WHERE z.s = y.s) AS q FROM (SELECT s, node, row_number() OVER (PARTITION BY s ORDER BY r, p) AS rank, cum FROM (
+SELECT l.s, b.dst AS node, l.rank AS r, b.pos AS p, l.cum * b.w * {f}::DOUBLE AS cum, row_number() OVER (PARTITION BY l.s, b.dst ORDER BY l.rank, b.pos) AS k
+FROM l{k - 1} l JOIN b ON l.node = b.src WHERE l.q < {queue} AND b.dst <> l.s AND (l.s, b.dst) NOT IN (SELECT s, node FROM s{k}) AND l.cum * b.w * {f}::DOUBLE > 1e-6) WHERE k = 1) y)"""
+    return sql(a + f""", f AS (SELECT s, node, cum, 2 AS level, rank FROM l2 UNION ALL SELECT s, node, cum, 3, rank FROM l3), g AS (SELECT f.*, n FROM f JOIN deg ON s = src WHERE (s, node) NOT IN (SELECT src, dst FROM c))
+SELECT s AS src, node AS dst, round(cum, 10) AS weight FROM (SELECT *, row_number() OVER (ORDER BY n DESC, s, level, rank) AS place FROM g) WHERE place <= {edges}""")
+
+
+@query(_limited_sql(60, 55, 3, 3))
+def call_expand_limited(spark, d):
+    return graph.expand_calls(T.edges(spark, d), 3, graph.CallLimits(60, 55, 3, 3)).withColumn("weight", F.round("weight", 10))
+
+
 def _calls_sql(depth: int) -> str:
     out = """, c AS (SELECT src, dst, max(weight) AS w FROM e WHERE rel = 'calls' GROUP BY 1, 2), a AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) AS pos FROM c),
 l1 AS (SELECT src AS s, dst AS node, pos AS rank, w AS cum FROM a WHERE pos <= 30 AND src <> dst)"""
@@ -240,35 +390,68 @@ def context_window_edges(spark, d):
     return graph.context_window(loading.index_nodes(T.nodes(spark, d)))
 
 
+@query(
+    sql(""", w AS (SELECT idx, file, lineno, row_number() OVER (PARTITION BY file ORDER BY lineno, idx) - 1 AS rn, count(*) OVER (PARTITION BY file) AS n FROM i)
+SELECT * FROM w WHERE n <= 5 OR (rn % (n // 5) = 0 AND rn // (n // 5) < 5)""")
+)
+def strided_sample(spark, d):
+    return graph.strided(loading.index_nodes(T.nodes(spark, d)), 5)
+
+
+_OWN = "o AS (SELECT least(src_idx, dst_idx) AS a, greatest(src_idx, dst_idx) AS b, max(weight) AS own, arg_min(weight, row_number) AS first FROM (SELECT *, row_number() OVER (ORDER BY rel, src_idx, dst_idx, weight) AS row_number FROM x) GROUP BY 1, 2)"
+
+
+@query(
+    sql(f""", {_OWN}, p AS (SELECT a.idx AS a, b.idx AS b FROM i a JOIN i b ON a.file = b.file AND (b.lineno, b.idx) > (a.lineno, a.idx) AND b.lineno - a.lineno <= 5),
+z AS (SELECT p.a, p.b, coalesce(own, 0) + 1 AS weight FROM p LEFT JOIN o ON least(p.a, p.b) = o.a AND greatest(p.a, p.b) = o.b)
+SELECT a AS src_idx, b AS dst_idx, 'context_window' AS rel, weight FROM z UNION ALL SELECT b, a, 'context_window', weight FROM z""")
+)
+def context_window_legacy(spark, d):
+    n, e = _indexed(spark, d)
+    return graph.context_window(n, most_nodes=None, most_pairs=None, added_to=e)
+
+
 @query(
     sql(""", s AS (SELECT idx, CASE WHEN end_lineno > lineno THEN end_lineno - lineno WHEN lineno >= 0 THEN 1 END AS len FROM i)
-SELECT src_idx, dst_idx, rel, round(weight * (1 + CASE WHEN least(a.len, b.len)::DOUBLE / greatest(a.len, b.len) >= 0.3 THEN 0.2 * (least(a.len, b.len)::DOUBLE / greatest(a.len, b.len)) ELSE 0 END), 6) AS weight
-FROM x JOIN s a ON src_idx = a.idx JOIN s b ON dst_idx = b.idx""")
+SELECT src_idx, dst_idx, rel, round(CASE WHEN least(a.len, b.len)::DOUBLE / greatest(a.len, b.len) >= 0.3 THEN last * (1 + 0.2 * (least(a.len, b.len)::DOUBLE / greatest(a.len, b.len))) ELSE weight END, 6) AS weight
+FROM (SELECT *, first_value(weight) OVER (PARTITION BY least(src_idx, dst_idx), greatest(src_idx, dst_idx) ORDER BY rel DESC, src_idx DESC, dst_idx DESC, weight DESC) AS last FROM x) JOIN s a ON src_idx = a.idx JOIN s b ON dst_idx = b.idx""")
 )
 def scope_boost(spark, d):
     n, e = _indexed(spark, d)
     return graph.scope_boost(e, n).withColumn("weight", r6("weight"))
 
 
-@query()
+@query(
+    sql(f""", k AS (SELECT id, unnest(toks) AS token, generate_subscripts(toks, 1) AS pos FROM (SELECT id, {_normalised_sql('name')} AS toks FROM n)), m AS (SELECT id, 'subtoken:' || token AS t, pos FROM k),
+a AS (SELECT id AS src, t AS dst, 'has_subtoken' AS rel, 1.0::DOUBLE AS weight FROM m UNION ALL SELECT t, id, 'subtoken_of', 1.0 FROM m UNION ALL SELECT p.t, q.t, 'co_subtoken', 0.25 FROM m p JOIN m q ON p.id = q.id AND p.pos <> q.pos)
+SELECT src, dst, rel, max(weight) AS weight FROM a GROUP BY 1, 2, 3""")
+)
 def subtoken_edges(spark, d):
     return graph.subtoken_edges(T.nodes(spark, d))
 
 
-@query(
-    sql(""", g AS (SELECT idx, unnest([{'rel': 'same_file', 'grp': list_last(string_split(file, '/')), 'add': 3.0::DOUBLE}, {'rel': 'same_directory', 'grp': regexp_replace(file, '/[^/]*$', ''), 'add': 2.0::DOUBLE},
+_HIERARCHY_EDGES = """, g AS (SELECT idx, unnest([{'rel': 'same_file', 'grp': list_last(string_split(file, '/')), 'add': 3.0::DOUBLE}, {'rel': 'same_directory', 'grp': regexp_replace(file, '/[^/]*$', ''), 'add': 2.0::DOUBLE},
   {'rel': 'same_package', 'grp': split_part(file, '/', 1), 'add': 1.0::DOUBLE}], recursive := true) FROM i),
 k AS (SELECT *, row_number() OVER (PARTITION BY rel, grp ORDER BY idx) AS rn FROM g),
 p AS (SELECT a.rel, a.add, a.idx AS a, b.idx AS b, row_number() OVER (PARTITION BY a.rel, a.grp ORDER BY a.rn, b.rn) AS pair FROM k a JOIN k b ON a.rel = b.rel AND a.grp = b.grp AND a.rn < b.rn WHERE a.rn <= 50 AND b.rn <= 50),
 o AS (SELECT least(src_idx, dst_idx) AS a, greatest(src_idx, dst_idx) AS b, max(weight) AS own FROM x GROUP BY 1, 2),
 z AS (SELECT p.a, p.b, rel, coalesce(own, 0) + add AS weight FROM p LEFT JOIN o ON p.a = o.a AND p.b = o.b WHERE pair <= 500)
-SELECT a AS src_idx, b AS dst_idx, rel, weight FROM z UNION ALL SELECT b, a, rel, weight FROM z""")
-)
+SELECT a AS src_idx, b AS dst_idx, rel, weight FROM z UNION ALL SELECT b, a, rel, weight FROM z"""
+_HIERARCHY_FIRST = _HIERARCHY_EDGES.replace("max(weight) AS own FROM x", "arg_min(weight, rn0) AS own FROM (SELECT *, row_number() OVER (ORDER BY rel, src_idx, dst_idx, weight) AS rn0 FROM x)")
+
+
+@query(sql(_HIERARCHY_EDGES))
 def hierarchy_edges(spark, d):
     n, e = _indexed(spark, d)
     return graph.hierarchy_edges(n, e)
 
 
+@query(sql(_HIERARCHY_FIRST))
+def hierarchy_edges_legacy(spark, d):
+    n, e = _indexed(spark, d)
+    return graph.hierarchy_edges(n, e, first=True)
+
+
 _ADJ = """, m AS (SELECT src_idx AS i, dst_idx AS j, max(weight) AS v FROM x GROUP BY 1, 2), adj AS (SELECT i, j, sum(v) AS v FROM (SELECT * FROM m UNION ALL SELECT j, i, v FROM m) GROUP BY 1, 2)"""
 
 
@@ -277,6 +460,11 @@ def adjacency_max_sym(spark, d):
     return graph.adjacency(_indexed(spark, d)[1]).withColumn("v", r6("v"))
 
 
+@query(sql(", m AS (SELECT src_idx AS i, dst_idx AS j, max(weight) AS v FROM x GROUP BY 1, 2) SELECT i, j, round(max(v), 6) AS v FROM (SELECT * FROM m UNION ALL SELECT j, i, v FROM m) GROUP BY 1, 2"))
+def adjacency_legacy(spark, d):
+    return graph.adjacency(_indexed(spark, d)[1], added=False).withColumn("v", r6("v"))
+
+
 def _ppmi_sql(cells: str) -> str:
     return f""" SELECT i, j, round(pmi, 6) AS v FROM (SELECT {cells}.i, {cells}.j, ln((v / s) / (ri / s * cj / s + 1e-10) + 1e-10) AS pmi FROM {cells} JOIN (SELECT i, sum(v) AS ri FROM {cells} GROUP BY 1) a ON a.i = {cells}.i
 JOIN (SELECT j, sum(v) AS cj FROM {cells} GROUP BY 1) b ON b.j = {cells}.j CROSS JOIN (SELECT sum(v) AS s FROM {cells})) WHERE pmi > 0"""
@@ -308,12 +496,12 @@ def pca_fuse(spark, d):
 
 @query()
 def random_walks(spark, d):
-    return models.walks(_indexed(spark, d)[1], per_node=2, length=10)
+    return models.walks(_indexed(spark, d)[1])
 
 
 @query()
 def skipgram(spark, d):
-    return models.skipgram(models.walks(_indexed(spark, d)[1], per_node=2, length=10), dim=8, epochs=1)
+    return models.skipgram(models.walks(_indexed(spark, d)[1]))
 
 
 _RING = ", ring AS (SELECT * FROM (SELECT idx AS a, lead(idx) OVER (PARTITION BY label ORDER BY idx) AS b FROM v) WHERE b IS NOT NULL), both_ways AS (SELECT a, b FROM ring UNION ALL SELECT b, a FROM ring)"
@@ -334,17 +522,26 @@ def split_train_val(spark, d):
     return models.split(T.edges(spark, d))
 
 
-_NEG = """, g AS (SELECT idx, label AS grp, row_number() OVER (PARTITION BY label ORDER BY idx) - 1 AS n, count(*) OVER (PARTITION BY label) AS size FROM v),
-dr AS (SELECT a AS src, b AS dst, grp, ('0x' || substr(md5('42|' || a || '|' || b || '|' || k), 1, 8))::BIGINT % size AS n FROM ring JOIN g ON a = idx CROSS JOIN range(5) AS r(k)),
-neg AS (SELECT DISTINCT src, dst, idx AS neg FROM dr JOIN g ON dr.grp = g.grp AND dr.n = g.n WHERE idx <> src AND (src, idx) NOT IN (SELECT a, b FROM ring))"""
+def _number_sql(*parts: str) -> str:
+    return f"('0x' || substr(md5({" || '|' || ".join(("'42'", 'src', 'dst', 'no', *parts))}), 1, 8))::BIGINT"
+
+
+_NEG = f""", mem AS (SELECT idx, 'd' || label AS folder, 'f' || (idx % 25) AS file FROM v), pools AS (SELECT idx, 'folder|' || folder AS grp FROM mem UNION ALL SELECT idx, 'file|' || file FROM mem),
+pl AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY idx) - 1 AS n, count(*) OVER (PARTITION BY grp) AS size FROM pools),
+asked AS (SELECT a AS src, b AS dst, no FROM ring CROSS JOIN range(5) AS r(no)), u AS (SELECT *, {_number_sql("'u'")} / 4294967296.0 AS u FROM asked),
+g AS (SELECT u.*, CASE WHEN u < 0.5 THEN 'folder|' || folder WHEN u < 0.75 THEN 'file|' || file END AS grp FROM u JOIN mem ON src = idx), tr AS (SELECT * FROM g CROSS JOIN range(20) AS r(try)),
+nr AS (SELECT src, dst, no, try, pl.idx AS neg FROM (SELECT tr.*, {_number_sql("try")} % size AS n FROM tr JOIN (SELECT DISTINCT grp, size FROM pl) z USING (grp) WHERE try < 4) q JOIN pl ON pl.grp = q.grp AND pl.n = q.n),
+ev AS (SELECT src, dst, no, try, {_number_sql("try")} % (SELECT count(*) FROM mem) AS neg FROM tr WHERE try >= 4),
+neg AS (SELECT src, dst, no, arg_min(neg, try) AS neg FROM (SELECT * FROM nr UNION ALL SELECT * FROM ev) WHERE neg <> src AND (src, neg) NOT IN (SELECT a, b FROM ring) GROUP BY 1, 2, 3)"""
 
 
 def _negatives(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     ring = _nearest_label_edges(spark, d).select(F.col("src_idx").alias("src"), F.col("dst_idx").alias("dst"))
-    return ring, models.negatives(ring, _points(spark, d).select("idx", F.col("label").alias("grp")))
+    members = _points(spark, d).select("idx", F.concat(F.lit("d"), F.col("label").cast("string")).alias("folder"), F.concat(F.lit("f"), (F.col("idx") % 25).cast("string")).alias("file"))
+    return ring, models.negatives(ring, members)
 
 
-@query(sql(_RING + _NEG + " SELECT src, dst, neg FROM neg"))
+@query(sql(_RING + _NEG + " SELECT src, dst, no::INT AS no, neg FROM neg"))
 def negatives_by_group(spark, d):
     return _negatives(spark, d)[1]
 
@@ -364,16 +561,19 @@ def tau_grid(spark, d):
 
 
 # ------------------------------------------------------------------ retrieval
-_POST = """, tok AS (SELECT DISTINCT id, unnest(list_concat([lower(name)], list_transform(list_filter(string_split(name, ' '), lambda y: length(y) > 1), lambda y: lower(y)))) AS token FROM n
+_POST = f""", tok AS (SELECT DISTINCT id, unnest(list_concat([lower(name)], list_transform(list_filter({_subtokens_sql('name')}, lambda y: length(y) > 1), lambda y: lower(y)))) AS token FROM n
   UNION SELECT symbol, lower(type_token) FROM t)"""
+_LEX = f""", lq AS (SELECT query, len(tokens) AS m, unnest(tokens) AS token FROM (SELECT id AS query, list_transform({_subtokens_sql('name')}, lambda y: lower(y)) AS tokens FROM n WHERE ord % 100 = 0)),
+ls AS (SELECT query, id, sum(CASE WHEN lower(name) = token THEN 10.0 WHEN starts_with(lower(name), token) THEN 5.0 WHEN contains(lower(name), token) THEN 3.0 ELSE 1.0 END)::DOUBLE / max(m) AS score
+  FROM lq JOIN tok USING (token) JOIN n USING (id) GROUP BY 1, 2), lr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id)::INT AS rank FROM ls)"""
 
 
-@query()
+@query(sql(_POST + " SELECT token, id FROM tok"))
 def lexical_postings(spark, d):
     return retrieval.postings(T.nodes(spark, d), T.types(spark, d))
 
 
-@query()
+@query(sql(_POST + _LEX + " SELECT query, id, round(score, 6) AS score, rank FROM lr WHERE rank <= 20"))
 def lexical_search(spark, d):
     n = T.nodes(spark, d)
     asked = n.where("ord % 100 = 0").select(F.col("id").alias("query"), F.transform(text.subtokens(F.col("name")), F.lower).alias("tokens"))
@@ -410,6 +610,53 @@ def knn_lsh(spark, d):
     return retrieval.knn_hashed(p.withColumnRenamed("idx", "id"), _asked(p), 10).withColumn("score", r6("score"))
 
 
+@query()
+def knn_cells(spark, d):
+    p = _points(spark, d)
+    folder = f"{shared_folder(spark).rstrip('/')}/codelattice-cells-{uuid.uuid4().hex}"
+    retrieval.write_index(retrieval.build_index(p.withColumnRenamed("idx", "id")), folder)
+    return retrieval.search_index(retrieval.read_index(spark, folder), _asked(p), 10, 12).withColumn("score", r6("score"))
+
+
+@query(
+    sql(""", s AS (SELECT idx, CASE WHEN end_lineno > lineno THEN end_lineno - lineno WHEN lineno >= 0 THEN 1 END AS len FROM i), pt AS (SELECT n.id, v.vec, s.len FROM v JOIN n ON n.ord = v.idx JOIN i ON i.id = n.id JOIN s ON s.idx = i.idx),
+near AS (SELECT q.id AS query, p.id, round(list_cosine_similarity(p.vec, q.vec), 9) AS cosine, q.len AS a, p.len AS b FROM pt p JOIN pt q ON right(q.id, 2) = '00'), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id) AS r FROM near),
+m AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY r) AS r2 FROM k WHERE r <= 11 AND id <> query), h AS (SELECT *, cosine + 0.15 * CASE WHEN least(a, b)::DOUBLE / greatest(a, b) >= 0.2 THEN least(a, b)::DOUBLE / greatest(a, b) ELSE 0 END AS hybrid FROM m WHERE r2 <= 10)
+SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY round(hybrid, 9) DESC, id)::INT AS rank, round(hybrid, 6) AS hybrid_score, round(hybrid / 2, 6) AS score, round(sqrt(greatest(2 - 2 * cosine, 0)), 4) AS distance FROM h""")
+)
+def plain_search(spark, d):
+    n = T.nodes(spark, d)
+    p = _points(spark, d).join(n.select("id", F.col("ord").alias("idx")), "idx").select("id", "vec")
+    found = retrieval.plain_search(p, n, n.where(F.col("id").endswith("00")).select(F.col("id").alias("query")), 10, 2.0)
+    return found.withColumns({"score": r6("score"), "hybrid_score": r6("hybrid_score"), "distance": F.round("distance", 4)})
+
+
+_TYPED = """, tv AS (SELECT type_token AS token, vec FROM (SELECT type_token, row_number() OVER (ORDER BY type_token) - 1 AS k FROM (SELECT DISTINCT type_token FROM t)) JOIN v ON v.idx = k),
+tc AS (SELECT symbol, unnest(list_transform(vec, lambda c: c * count)) AS c, generate_subscripts(vec, 1) AS k, count FROM t JOIN tv ON type_token = token), tm AS (SELECT symbol, k, sum(c) / sum(count) AS c FROM tc GROUP BY 1, 2),
+tu AS (SELECT symbol AS id, list(c ORDER BY k) AS vec FROM tm GROUP BY 1)"""
+
+
+def _token_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Some vector for each type token, by the tokens' order."""
+    tokens = T.types(spark, d).select(F.col("type_token").alias("token")).distinct()
+    place = F.size(F.filter("every", lambda x: x < F.col("token"))).cast("long").alias("idx")
+    few = tokens.crossJoin(F.broadcast(tokens.agg(F.collect_list("token").alias("every"))))  # one row; type tokens of six kinds
+    return few.select("token", place).join(_points(spark, d), "idx").select("token", "vec")
+
+
+@query(sql(_TYPED + " SELECT p.id AS query, q.id, round(list_cosine_similarity(p.vec, q.vec), 6) AS score FROM tu p JOIN tu q ON right(p.id, 2) = '00' AND right(q.id, 2) = '51'"))
+def type_similarity(spark, d):
+    own = retrieval.type_vectors(T.types(spark, d), _token_vectors(spark, d))
+    q = own.where(F.col("id").endswith("00")).select(F.col("id").alias("query"), F.col("vec").alias("q"), F.lit(1).alias("one"))
+    return own.where(F.col("id").endswith("51")).withColumn("one", F.lit(1)).join(q, "one").select("query", "id", r6(vectors.dot(F.col("vec"), F.col("q"))).alias("score"))
+
+
+@query(sql(" SELECT idx, list_transform(list_transform(vec[1:8], lambda c: exp(c / 0.5)), lambda c: round(c / list_sum(list_transform(vec[1:8], lambda y: exp(y / 0.5))), 9)) AS p FROM v"))
+def softmax_rows(spark, d):
+    p = scores.softmax(F.slice("vec", 1, 8), F.lit(0.5))
+    return _points(spark, d).select("idx", F.transform(p, lambda x: F.round(x, 9)).alias("p"))
+
+
 @query(
     sql(_RING + """, sub AS (SELECT a AS query, unnest(vec) AS c, generate_subscripts(vec, 1) AS k FROM both_ways JOIN v ON b = idx), m AS (SELECT query, k, avg(c) AS c FROM sub GROUP BY 1, 2),
 u AS (SELECT idx, unnest(vec) AS c, generate_subscripts(vec, 1) AS k FROM v), s AS (SELECT idx, u.k, CASE WHEN m.c IS NULL THEN u.c ELSE (u.c + 0.6 * m.c) / 1.6 END AS y FROM u LEFT JOIN m ON idx = query AND u.k = m.k)
@@ -435,6 +682,24 @@ def namespace_score(spark, d):
     return pairs.select("query", "id", scores.namespace(*[F.col(c) for c in ("qf", "qg", "qp", "f", "g", "p")]).alias("score"))
 
 
+_FAR = "concat(CASE WHEN lineno % 2 = 0 THEN './' ELSE '' END, 'p', lineno % 3, '/a', lineno % 4, '/', kind, '.py')"
+
+
+@query(
+    sql(f""", f AS (SELECT id, list_last(parts) AS f, parts[1:len(parts)-1] AS g, CASE WHEN parts[1] = '.' THEN parts[2] ELSE parts[1] END AS p FROM (SELECT id, string_split({_FAR}, '/') AS parts FROM n)),
+z AS (SELECT q.id AS query, f.id, q.f AS qf, f.f AS f, q.g AS qg, f.g AS g, q.p AS qp, f.p AS p FROM f q JOIN f ON right(q.id, 2) = '00' AND right(f.id, 2) = '51')
+SELECT query, id, round(CASE WHEN qf = f THEN 1.0 WHEN qg = g THEN 0.7 WHEN qp = p THEN 0.4 ELSE 0.2 * CASE WHEN qg[1] <> g[1] THEN 0 WHEN qg[2] IS DISTINCT FROM g[2] THEN 1 WHEN qg[3] IS DISTINCT FROM g[3] THEN 2 ELSE 3 END / greatest(len(qg), len(g)) END::DOUBLE, 9) AS score FROM z""")
+)
+def namespace_far(spark, d):
+    """Packages that differ, some with a common beginning."""
+    file = F.concat(F.when(F.col("lineno") % 2 == 0, F.lit("./")).otherwise(F.lit("")), F.lit("p"), (F.col("lineno") % 3).cast("string"), F.lit("/a"), (F.col("lineno") % 4).cast("string"), F.lit("/"), F.col("kind"), F.lit(".py"))
+    name, folder, top = text.hierarchy(file)
+    f = T.nodes(spark, d).select("id", name.alias("f"), folder.alias("g"), top.alias("p"), F.lit(1).alias("one"))
+    q = f.where(F.col("id").endswith("00")).withColumnsRenamed({"id": "query", "f": "qf", "g": "qg", "p": "qp"})
+    pairs = f.where(F.col("id").endswith("51")).join(q, "one")
+    return pairs.select("query", "id", F.round(scores.namespace(*[F.col(c) for c in ("qf", "qg", "qp", "f", "g", "p")]), 9).alias("score"))
+
+
 def _keyword_sql(words: list[str]) -> str:
     ph = " ".join(words)
     n = len(words)
@@ -454,21 +719,64 @@ def _keywords(words: list[str]) -> Query:
     return lambda spark, d: retrieval.keyword_search(T.nodes(spark, d), T.types(spark, d), words, 25, frozenset()).withColumn("score", r6("score"))
 
 
-for _name, _words in (("keyword_single", ["steel"]), ("keyword_multi", ["steel", "dict"]), ("keyword_kind", ["promo"])):
+for _name, _words in (("keyword_single", ["small"]), ("keyword_multi", ["small", "dict"]), ("keyword_kind", ["promo"])):
     QUERIES[_name], ORACLE[_name] = _keywords(_words), _keyword_sql(_words)
 
 
-@query()
+def _one_word_sql(w: str) -> str:
+    return f"CASE WHEN nm = '{w}' THEN 1.0 WHEN starts_with(nm, '{w}') THEN 0.8 WHEN contains(nm, '{w}') THEN 0.6 WHEN kd = '{w}' THEN 0.4 WHEN contains(kd, '{w}') THEN 0.2 WHEN contains(tk, '{w}') THEN 0.3 ELSE 0 END::DOUBLE"
+
+
+_INTERSECTION = sql(f"""{_keyword_sql(["small", "list"]).split("FROM embeddings)", 1)[1].split("SELECT id, round(score, 6)")[0].rstrip()},
+w AS (SELECT id, 'small' AS w, {_one_word_sql("small")} AS score FROM s UNION ALL SELECT id, 'list', {_one_word_sql("list")} FROM s),
+l AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY round(score, 9) DESC, id) AS r FROM w WHERE score > 0), o AS (SELECT id, count(*) AS matched, avg(score) AS mean FROM l WHERE r <= 125 GROUP BY 1),
+b AS (SELECT coalesce(o.id, p.id) AS id, coalesce(matched, 0) AS matched, greatest(coalesce(CASE WHEN matched = 2 THEN mean * 1.5 ELSE mean * (0.5 + 0.5 * matched / 2) END, 0), coalesce(1.2 * p.score, 0)) AS score FROM o FULL JOIN (SELECT * FROM z WHERE score > 0) p ON o.id = p.id)
+SELECT id, matched, round(score, 6) AS score, row_number() OVER (ORDER BY matched = 2 DESC, matched DESC, round(score, 9) DESC, id)::INT AS rank FROM b ORDER BY rank LIMIT 25""")
+
+
+@query(_INTERSECTION)
 def keyword_intersection(spark, d):
     return retrieval.keyword_intersection(T.nodes(spark, d), T.types(spark, d), ["small", "list"], 25, frozenset()).withColumn("score", r6("score"))
 
 
-@query()
+_TRIED = " UNION ALL ".join(f"SELECT * FROM ({_keyword_sql([w])})" for w in ("ring", "small", "promo"))
+
+
+@query(
+    f"""WITH a AS ({_TRIED}), n AS ({T.NODES_SQL.format(part="part")}), m AS (SELECT a.id, a.score, name, kind, file, lineno FROM a JOIN n ON a.id = n.id),
+k AS (SELECT *, row_number() OVER (PARTITION BY file, lineno ORDER BY score DESC, id DESC) AS r FROM m) SELECT id, name, kind, file, lineno, score FROM k WHERE r = 1 ORDER BY round(score, 9) DESC, id LIMIT 10"""
+)
+def gathered_attempts(spark, d):
+    n, t = T.nodes(spark, d), T.types(spark, d)
+    tried = None
+    for w in ("ring", "small", "promo"):
+        found = retrieval.keyword_search(n, t, [w], 25, frozenset()).select("id", r6("score").alias("score"))
+        tried = found if tried is None else tried.unionByName(found)
+    return retrieval.gather_attempts(tried, n, 10).select("id", "name", "kind", "file", "lineno", "score")
+
+
+def _top_sql(source: str, score: str, k: int) -> str:
+    return f"(SELECT * EXCLUDE (rk) FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round({score}, 9) DESC, id) AS rk FROM {source}) WHERE rk <= {k})"
+
+
+_CASCADE = _POST + _LEX + _TYPED + f""", lx AS (SELECT query, id, score AS lex FROM lr WHERE rank <= 500), pt AS (SELECT n.id, v.vec FROM v JOIN n ON n.ord = v.idx), aq AS (SELECT id AS query FROM n WHERE ord % 100 = 0),
+de AS (SELECT query, p.id, round(list_cosine_similarity(p.vec, q.vec), 9) AS cos FROM pt p JOIN (SELECT query, vec FROM aq JOIN pt ON query = id) q ON true), d1 AS {_top_sql("de", "cos", 400)},
+d2 AS {_top_sql("(SELECT * FROM d1 SEMI JOIN lx USING (query, id))", "cos", 200)}, f AS (SELECT id, list_last(string_split(file, '/')) AS f, regexp_replace(file, '/[^/]*$', '') AS g, split_part(file, '/', 1) AS p, list_distinct(string_split(kind || ' ' || name, ' ')) AS words FROM n),
+bo AS (SELECT * FROM lx FULL JOIN d2 USING (query, id)), hy AS (SELECT query, bo.id, 0.5 * least(greatest(coalesce(2 * cos - 1, 0), 0), 1) + 0.2 * least(greatest(coalesce(lex / 10, 0), 0), 1)
+  + 0.15 * least(greatest(coalesce(list_cosine_similarity(tp.vec, tq.vec), 0), 0), 1) + 0.15 * CASE WHEN qf.f = f.f THEN 1.0 WHEN qf.g = f.g THEN 0.7 WHEN qf.p = f.p THEN 0.4 ELSE 0 END AS hybrid,
+  len(list_intersect(f.words, qf.words))::DOUBLE / greatest(len(list_distinct(list_concat(f.words, qf.words))), 1) AS words
+  FROM bo JOIN f ON f.id = bo.id JOIN f qf ON qf.id = query LEFT JOIN tu tp ON tp.id = bo.id LEFT JOIN tu tq ON tq.id = query), h2 AS {_top_sql("hy", "hybrid", 200)},
+h3 AS (SELECT h2.*, list_cosine_similarity(p.vec, q.vec) AS cosine FROM h2 JOIN pt p ON p.id = h2.id JOIN pt q ON q.id = query), h4 AS {_top_sql("h3", "cosine", 50)}, fi AS (SELECT *, 0.6 * (0.7 * cosine + 0.3 * words) + 0.4 * hybrid AS final FROM h4 WHERE id <> query)
+SELECT query, id, rank, round(final, 6) AS score, round(hybrid, 6) AS hybrid_score, round(1 - cosine, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(final, 9) DESC, id)::INT AS rank FROM fi) WHERE rank <= 10"""
+
+
+@query(sql(_CASCADE))
 def multi_stage(spark, d):
-    n = T.nodes(spark, d)
+    n, t = T.nodes(spark, d), T.types(spark, d)
     p = _points(spark, d).join(n.select("id", F.col("ord").alias("idx")), "idx").select("id", "vec")
     asked = n.where("ord % 100 = 0").select(F.col("id").alias("query"))
-    return retrieval.cascade(n, p, retrieval.postings(n, T.types(spark, d)), asked).withColumns({c: r6(c) for c in ("score", "hybrid_score", "distance")})
+    typed = retrieval.type_vectors(t, _token_vectors(spark, d))
+    return retrieval.cascade(n, p, retrieval.postings(n, t), asked, typed=typed).withColumns({c: r6(c) for c in ("score", "hybrid_score", "distance")})
 
 
 # ------------------------------------------------------------------ sources
@@ -478,9 +786,54 @@ def snippet_lines(spark, d):
     return extraction.snippets(docs, docs.select("path", F.lit(2).alias("first"), F.lit(4).alias("last")))
 
 
-@query()
+_CODE = """import os
+from base import lookup as find
+
+class Part%d(Base):
+    size: int = %d
+
+    def price(self, n: int, names: List[str]) -> float:
+        total = find(n) + self.scale(n)
+        return total
+"""
+_FILE = "SELECT p_partkey AS k, printf('src/part_%06d.py', p_partkey) AS path, '@' || left(md5(printf('src/part_%06d.py', p_partkey)), 12) AS dg FROM part"
+#: The ids of a program's names, numbered as they are met, less the file's digest.
+_IDS = {"file": "printf('file_part_%06d_py_0001', k)", "class": "'class_part' || k || '_0004'"}
+_IDS |= {n: f"'{n}'" for n in ("import_os_0002", "import_find_0003", "class_base_0005", "var_base_0006", "var_size_0007", "var_int_0008", "function_price_0009", "var_list_0010", "var_str_0011")}
+_IDS |= {n: f"'{n}'" for n in ("var_total_0012", "function_find_0013", "var_n_0014", "var_find_0015", "function_self_scale_0016", "var_self_0017", "var_float_0018")}
+
+
+def _extract_sql(columns: str, rows: list[str]) -> str:
+    return f"WITH f AS ({_FILE}) SELECT {columns} FROM (" + " UNION ALL ".join(f"SELECT {r} FROM f" for r in rows) + ")"
+
+
+def _programs(spark: SparkSession, d: str) -> DataFrame:
+    """A small program for each part."""
+    return T.parquet(spark, d, "part").select(F.format_string("src/part_%06d.py", "p_partkey").alias("path"), F.format_string(_CODE, "p_partkey", "p_size").alias("content"))
+
+
+_SYMBOLS = (("file", "file", "printf('part_%06d.py', k)", 1, 9, "NULL"), ("class", "class", "'Part' || k", 4, 9, "NULL"), ("var_size_0007", "var", "'size'", 5, 5, "NULL"), ("function_price_0009", "function", "'price'", 7, 9, "3"), ("var_total_0012", "var", "'total'", 8, 8, "NULL"))
+
+
+@query(_extract_sql("id, kind, name, file, lineno::INT AS lineno, end_lineno::INT AS end_lineno, args::INT AS args", [f"{_IDS[i]} || dg AS id, '{k}' AS kind, {n} AS name, path AS file, {a} AS lineno, {b} AS end_lineno, {c} AS args" for i, k, n, a, b, c in _SYMBOLS]))
 def extract_symbols(spark, d):
-    """Symbols of small programs made from the parts table."""
-    p = T.parquet(spark, d, "part")
-    code = F.format_string("class Part%d(Base):\n    size: int = %d\n    def price(self, n: int) -> float:\n        return lookup(n) + self.size\n", "p_partkey", "p_size")
-    return extraction.extract(p.select(F.format_string("src/part_%06d.py", "p_partkey").alias("path"), code.alias("content")))[0].drop("bases")
+    return extraction.extract(_programs(spark, d))[0].drop("bases")
+
+
+_LINKS = (
+    [("file", "import_os_0002", "imports", 1.0), ("file", "import_find_0003", "imports", 1.0), ("file", "class", "defines_in_file", 1.0), ("class", "class_base_0005", "inherits", 1.0), ("class", "var_size_0007", "defines_in_file", 1.0)]
+    + [("class", "function_price_0009", "defines_in_file", 1.0), ("class", "var_base_0006", "cooccurs", 0.3), ("class", "var_int_0008", "cooccurs", 0.3), ("function_price_0009", "var_total_0012", "defines_in_file", 1.0)]
+    + [("function_price_0009", x, "calls", 1.0) for x in ("function_find_0013", "function_self_scale_0016")]
+    + [("function_price_0009", x, "cooccurs", 0.3) for x in ("var_int_0008", "var_list_0010", "var_str_0011", "var_find_0015", "var_self_0017", "var_total_0012", "var_float_0018")]
+    + [("function_price_0009", "var_n_0014", "cooccurs", 0.5)]
+)
+
+
+@query(_extract_sql("*", [f"{_IDS[a]} || dg AS src, {_IDS[b]} || dg AS dst, '{r}' AS rel, {w}::DOUBLE AS weight" for a, b, r, w in _LINKS]))
+def extract_links(spark, d):
+    return extraction.extract(_programs(spark, d))[1]
+
+
+@query(_extract_sql("*", [f"{_IDS[i]} || dg AS symbol, '{t}' AS type_token, 1::BIGINT AS count" for i, t in (("var_size_0007", "int"), ("function_price_0009", "int"), ("function_price_0009", "List[str]"), ("function_price_0009", "float"))]))
+def extract_type_tokens(spark, d):
+    return extraction.extract(_programs(spark, d))[2]
