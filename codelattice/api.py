@@ -315,13 +315,13 @@ def field_report(spark: SparkSession, nodes: str, edges: str, types: str) -> Dat
     out = None
     for place, path, required, numbers in (("node", nodes, ["id", "kind", "name"], []), ("edge", edges, ["src", "dst", "rel"], ["weight"]), ("type", types, ["symbol", "type_token", "count"], ["count"])):
         rows = tables.read_jsonl(spark, path, ", ".join(f"{c} string" for c in {**dict.fromkeys(required), **dict.fromkeys(numbers)}))
-        fine = rows.where("_corrupt_record is null")
-        counted = [loading.field_errors(fine, required).select(F.lit(f"{place}: missing").alias("place"), F.explode(F.map_from_arrays(F.array(*map(F.lit, required)), F.array(*required))).alias("problem", "n"))]
-        if numbers:
-            counted.append(loading.number_errors(fine, numbers).select(F.lit(f"{place}: no number").alias("place"), F.explode(F.map_from_arrays(F.array(*map(F.lit, numbers)), F.array(*numbers))).alias("problem", "n")))
-        counted.append(rows.agg(F.count_if(F.col("_corrupt_record").isNotNull()).alias("n")).select(F.lit(f"{place}: line").alias("place"), F.lit("unreadable").alias("problem"), "n"))
-        for c in counted:
-            out = c if out is None else out.unionByName(c)
+        whole = F.col("_corrupt_record").isNull()
+        counts = {"unreadable": F.count_if(~whole)} | {f"no {c}": F.count_if(whole & F.col(c).isNull()) for c in required}
+        counts |= {f"{c} is no number": F.count_if(whole & loading.no_number(F.col(c))) for c in numbers}
+        found = rows.agg(*[c.alias(name) for name, c in counts.items()])
+        names = F.map_from_arrays(F.array(*map(F.lit, counts)), F.array(*[F.col(f"`{name}`") for name in counts]))
+        found = found.select(F.lit(place).alias("place"), F.explode(names).alias("problem", "n"))
+        out = found if out is None else out.unionByName(found)
     return out
 
 

@@ -71,9 +71,13 @@ def field_errors(rows: DataFrame, required: list[str]) -> DataFrame:
     return rows.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in required])
 
 
+def no_number(text: Column) -> Column:
+    return text.isNotNull() & text.try_cast("double").isNull()
+
+
 def number_errors(rows: DataFrame, fields: list[str]) -> DataFrame:
     """How many rows hold something else than a number in each field, given as text."""
-    return rows.agg(*[F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull()).alias(c) for c in fields])
+    return rows.agg(*[F.count_if(no_number(F.col(c))).alias(c) for c in fields])
 
 
 def distinct_files(nodes: DataFrame) -> DataFrame:

@@ -100,3 +100,49 @@ def test_retrain(spark, made):
     newer = api.Model(spark, f"{top}/newer")
     assert newer.commit == git.head(str(src))
     assert newer.tables["nodes"].count() == api.Model(spark, f"{top}/model").tables["nodes"].count()
+
+
+def test_dimensions_and_presets():
+    assert api.default_dimensions(40) == {"graph_dim": 32, "context_dim": 32, "typed_dim": 32, "final_dim": 38}
+    assert api.default_dimensions(150, 10)["graph_dim"] == 57 and api.default_dimensions(500, 30)["typed_dim"] == 16
+    assert api.default_dimensions(10**6, 5000) == {"graph_dim": 119, "context_dim": 119, "typed_dim": 64, "final_dim": 181}
+    old = api.Settings().legacy()
+    assert (old.svd_steps, old.window, old.epochs, old.taus, old.tau_span, old.neighbours, old.capped, old.bonus) == (10, 10, 5, 50, 2.0, None, False, False)
+    assert "scopes" not in old.steps and api.Settings(automatic=True).fitted(150, 10).graph_dim == 57
+
+
+def test_keywords():
+    assert api.keywords('Parse "my Config", file') == ["parse", "my", "config", "file"]
+    assert api.keywords("don't Stop", True) == ["don't", "Stop"]
+
+
+def test_models_are_found(tmp_path):
+    for name in ("b", "a/deep", ".hidden"):
+        for table in ("embeddings", "nodes", "settings"):
+            (tmp_path / name / table).mkdir(parents=True)
+    (tmp_path / "none/embeddings").mkdir(parents=True)
+    assert api.discover(str(tmp_path)) == [str(tmp_path / "a/deep"), str(tmp_path / "b")]
+    assert api.discover(str(tmp_path / "b")) == [str(tmp_path / "b")]
+
+
+def test_other_searches_and_code(spark, made, capsys):
+    top, run = made
+    model = api.Model(spark, f"{top}/model")
+    best = model.search("parse_config").first()["id"]
+    near, exact = ([r["id"] for r in x.orderBy("rank").collect()] for x in (model.nearest([best], 5, 100), model.plain([best], 4)))
+    assert near[0] == best and len(exact) == 4 and best not in exact
+    assert model.search("PARSE_config", case_sensitive=True).count() == 0
+    found = model.gather(["parse config", "load file", "open file", "never asked"]).collect()
+    assert found and len({(r["file"], r["lineno"]) for r in found}) == len(found)
+    a = run("query", top, "--keywords", "parse_config", "--full", "--code", top / "src")
+    assert a.run(spark, a) == 0
+    first = json.loads(capsys.readouterr().out)["results"][0]
+    assert first["code"] == "def parse_config(path: str) -> dict:\n    return load_file(path)"
+
+
+def test_the_older_variant_trains(spark, made):
+    top, _ = made
+    nodes, edges, types = cli._read(spark, f"{top}/tables")
+    s = api.replace(api.Settings().legacy(), walks=1, length=4, graph_dim=4, context_dim=4, typed_dim=2, final_dim=6, epochs=1, svd_steps=1, smoothing=1, taus=5)
+    model = api.train(nodes, edges, types, f"{top}/older", s)
+    assert model.settings == s and model.tables["embeddings"].where("id like 'subtoken:%'").count() == 0

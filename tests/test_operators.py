@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from codelattice import api
 from codelattice.operators import extraction, graph, loading, models, retrieval
 from codelattice.sources import tables
 from codelattice.streaming import incremental
@@ -188,3 +189,55 @@ def test_jsonl_model_and_stream(spark, tmp_path):
     (tmp_path / "in/b.json").write_text('{"src":"a","dst":"b","rel":"calls","weight":2.0}\n')
     incremental.follow(spark, *args).awaitTermination()
     assert [r.weight for r in incremental.latest(spark, str(tmp_path / "out"), ["src", "dst"]).collect()] == [2.0]
+
+
+def test_the_last_edge_of_a_pair_sets_its_weight(spark):
+    nodes = spark.createDataFrame([(0, 1, 11), (1, 20, 25), (2, 30, 130)], "idx long, lineno int, end_lineno int")
+    edges = spark.createDataFrame([(0, 1, "calls", 0.4), (1, 0, "calls", 0.8), (0, 1, "uses", 1.0), (0, 2, "calls", 0.5)], "src_idx long, dst_idx long, rel string, weight double")
+    got = {(r.src_idx, r.dst_idx, r.rel): round(r.weight, 9) for r in graph.scope_boost(edges, nodes).collect()}
+    assert got == {(0, 1, "calls"): 1.1, (1, 0, "calls"): 1.1, (0, 1, "uses"): 1.1, (0, 2, "calls"): 0.5}
+
+
+def test_weights_of_the_hierarchy_follow_the_boost(spark):
+    """Calls and line windows are boosted, subtokens and the hierarchy are not, and the hierarchy adds to what is there by then."""
+    nodes = spark.createDataFrame([("a", 0, "function", "one", "p/f.py", 1, 5), ("b", 1, "function", "two", "p/f.py", 3, 7)], "id string, idx long, kind string, name string, file string, lineno int, end_lineno int")
+    edges = spark.createDataFrame([("a", "b", "calls", 0.5)], "src string, dst string, rel string, weight double")
+    rows = {(r.src_idx, r.dst_idx, r.rel): r.weight for r in api.enrich(nodes, edges)[0].where("src_idx < 2 and dst_idx < 2").collect()}
+    assert rows[0, 1, "calls"] == rows[0, 1, "context_window"] == 1.2  # the window's 1 is the last weight of the pair
+    assert rows[0, 1, "same_file"] == rows[1, 0, "same_file"] == 4.2 and rows[0, 1, "same_package"] == 2.2
+
+
+def test_walks_go_back_and_away_as_asked(spark):
+    """On a path of five nodes: with a tiny p every walk turns back, with a tiny q it goes on."""
+    line = spark.createDataFrame([(i, i + 1, "calls", 1.0) for i in range(4)], "src_idx long, dst_idx long, rel string, weight double")
+    for r in models.walks(line, 3, 6, p=1e-9).collect():
+        assert r.walk[0] == r.walk[2] == r.walk[4] and r.walk[1] == r.walk[3]
+    for r in models.walks(line, 3, 4, q=1e-9).where("start = 0").collect():
+        assert list(r.walk) == [0, 1, 2, 3]
+
+
+def test_kept_cells_and_hashes_find_the_nearest(spark, sf, tmp_path):
+    p = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("vec_id AS id", "cast(embedding AS array<double>) AS vec")
+    asked = p.where("id % 25 = 0").selectExpr("id AS query", "vec")
+    want = {(r.query, r.id) for r in retrieval.knn(p, asked, 10).collect()}
+    retrieval.write_index(retrieval.build_index(p), f"{tmp_path}/cells")
+    found = retrieval.search_index(retrieval.read_index(spark, f"{tmp_path}/cells"), asked, 10, 15)
+    assert len(want & {(r.query, r.id) for r in found.collect()}) >= 0.9 * len(want)
+    hashed = {(r.query, r.id) for r in retrieval.knn_hashed(p, asked, 10).collect()}
+    assert len(hashed) == len(want) and len(want & hashed) >= 0.9 * len(want)
+
+
+def test_names_that_are_left_out_and_ends(spark):
+    code = "class Data(x.Base, Other):\n    pass\n\ndef run(a):\n    result = (a,\n        a)\n    size: int = 1\n"
+    files = spark.createDataFrame([("m.py", code)], "path string, content string")
+    nodes, edges, types = extraction.extract(files)
+    got = {r.name: (r.lineno, r.end_lineno, r.bases) for r in nodes.collect()}
+    assert got["m.py"][:2] == (1, 7) and got["Data"] == (1, 2, ["x.Base", "Other"]) and got["result"][:2] == (5, 6)
+    fewer, _, _ = extraction.extract(files, rules=extraction.Rules(frozenset({"data", "result"}), annotated=False, ends=False))
+    assert {r.name for r in fewer.collect()} == {"m.py", "run"} and fewer.where("end_lineno is not null").count() == 0
+
+
+def test_ignore_files_are_found_above(tmp_path):
+    (tmp_path / "a/b").mkdir(parents=True)
+    (tmp_path / ".gitignore").write_text("x")
+    assert extraction.find_rules(str(tmp_path / "a/b")) == str(tmp_path / ".gitignore")
