@@ -131,7 +131,7 @@ def train(docs: DataFrame, *, max_docs: int = MAX_DOCS) -> Model:
     # The rows with the smallest hashes of each language: their bounds first, without texts, then the rows.
     own = own.where(F.col("lang").isin(*counts)).withColumn("h", F.xxhash64("doc_id", "text"))
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    least = own.select("lang", "doc_id", "h").withColumn("part", F.pmod("h", F.lit(64)))  # a hot language goes by parts first
+    least = own.select("lang", "doc_id", "h").withColumn("part", F.pmod("h", F.lit(16)))  # a hot language goes by parts first
     least = least.withColumn("place", F.row_number().over(Window.partitionBy("lang", "part").orderBy("h", "doc_id"))).where(F.col("place") <= most)
     least = least.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
     bounds = {r["lang"]: r["h"] for r in least.groupBy("lang").agg(F.max("h").alias("h")).collect()}
