@@ -96,13 +96,6 @@ class Windows:
         return self.hashes(self.starts[:-1], self.starts[1:] + (self.width - 1))
 
 
-def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int, int]]:
-    """(start, end, words, digest) of the windows of a text, in order."""
-    at = [m.span() for m in WORD.finditer(text)]
-    for n, digest in enumerate(Windows(text, min_words).digests().tolist()):
-        yield at[n][0], at[n + min_words - 1][1], min_words, digest
-
-
 def _rows(batch: pa.RecordBatch, parts: list[tuple], names: list[str]) -> pa.RecordBatch:
     """parts: row of the batch, version, and the other columns."""
     sizes = [len(p[2]) for p in parts]
