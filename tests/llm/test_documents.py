@@ -145,6 +145,19 @@ def test_mix_of_odd_rows(spark):
     assert mixing.taken(empty(spark)).count() == 0 and mixing.mix(empty(spark)).count() == 0
 
 
+def test_mix_of_one_doc_id_for_a_third_of_all_rows(spark):
+    """Rows that share a doc_id or have none are drawn like others; where their texts differ, each for itself."""
+    rows = [(i if i % 3 else None if i % 2 else 7, f"w{i} " * (1 + i % 5), "hot" if i % 4 else "other") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [sorted((r.doc_id or -1, r.source, r["size"], r.copies) for r in mixing.taken(docs, slice_rows=n).collect()) for n in (1000, 1000, 50)]
+    assert runs[0] == runs[1] and len(runs[0]) == len(runs[2]) == 4000
+    for out in (mixing.taken(docs), mixing.taken(docs, slice_rows=50), mixing.mix(docs)):
+        got = {r.source: (r.words, r.target) for r in out.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("words"), F.max("target").alias("target")).collect()}
+        assert out.where("copies > 3").count() == 0
+        for words, target in got.values():
+            assert abs(words - target) <= 10
+
+
 # ------------------------------------------------------------------ passages
 def prose(seed, n):
     g = np.random.default_rng(seed)
