@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -115,6 +115,28 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(x, pa.binary())], ["doc_id", "lang", "x"])
 
 
+def _below(bounds: dict[str, int]) -> Column:
+    near = F.lit(False)
+    for lang, h in bounds.items():
+        near = near | ((F.col("lang") == lang) & (F.col("h") <= h))
+    return near
+
+
+def _bounds(own: DataFrame, counts: dict[str, int], most: int, order: WindowSpec) -> dict[str, int]:
+    """Each language's ``most``-th smallest hash, or its largest. Hashes are even, so a few times ``most`` rows are expected
+    under a small part of their range, and only these are ranked; where they are too few, the part is widened."""
+    found, part, whole, left = {}, 4, (1 << 63) - 1, dict(counts)
+    while left:
+        upto = {lang: min(whole, (part * most << 64) // n - (1 << 63)) for lang, n in left.items()}
+        least = own.where(_below(upto)).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+        rows = least.groupBy("lang").agg(F.max("h").alias("h"), F.count("*").alias("n")).collect()
+        done = {r["lang"]: r["h"] for r in rows if r["n"] >= most or upto[r["lang"]] == whole}
+        found |= done
+        left = {lang: n for lang, n in left.items() if lang not in done and upto[lang] < whole}
+        part *= 16
+    return found
+
+
 def train(docs: DataFrame, *, max_docs: int = MAX_DOCS) -> Model:
     """A model of the labelled documents that aren't held out."""
     ship(docs.sparkSession)
@@ -131,13 +153,8 @@ def train(docs: DataFrame, *, max_docs: int = MAX_DOCS) -> Model:
     # The rows with the smallest hashes of each language: their bounds first, without texts, then the rows.
     own = own.where(F.col("lang").isin(*counts)).withColumn("h", F.xxhash64("doc_id", "text"))
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    least = own.select("lang", "doc_id", "h").withColumn("part", F.pmod("h", F.lit(16)))  # a hot language goes by parts first
-    least = least.withColumn("place", F.row_number().over(Window.partitionBy("lang", "part").orderBy("h", "doc_id"))).where(F.col("place") <= most)
-    least = least.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
-    bounds = {r["lang"]: r["h"] for r in least.groupBy("lang").agg(F.max("h").alias("h")).collect()}
-    near = F.lit(False)
-    for lang, h in bounds.items():
-        near = near | ((F.col("lang") == lang) & (F.col("h") <= h))
+    bounds = _bounds(own.select("lang", "doc_id", "h"), counts, most, order)
+    near = _below(bounds)
     chosen = own.where(near).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place", "h")
     rows = sorted(chosen.mapInArrow(_featurise, "doc_id long, lang string, x binary").collect(), key=lambda r: (r["lang"], r["doc_id"], r["x"]))
     languages = sorted({r["lang"] for r in rows})

@@ -432,6 +432,19 @@ def test_the_training_sample_is_bounded(spark, monkeypatch):
     assert len(model.languages) == 10 and sizes[1] <= 20
 
 
+def test_the_sample_has_the_smallest_hashes(spark):
+    """However few rows a part of the range holds: languages of 5000, 40 and 2 rows, and one of rows that all agree."""
+    rows = [(i, f"text {i}", lang) for lang, n in (("a", 5000), ("b", 40), ("c", 2)) for i in range(n)] + [(9, "the same", "d")] * 500
+    own = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("h", F.xxhash64("doc_id", "text"))
+    hashes = defaultdict(list)
+    for r in own.collect():
+        hashes[r.lang].append(r.h)
+    order = language_id.Window.partitionBy("lang").orderBy("h", "doc_id")
+    for most in (1, 7, 300):
+        got = language_id._bounds(own, {lang: len(h) for lang, h in hashes.items()}, most, order)
+        assert got == {lang: sorted(h)[: most][-1] for lang, h in hashes.items()}
+
+
 def test_codes_are_apart():
     for k in (2, 3, 4, 7, 12):
         c = language_id.code(k)
