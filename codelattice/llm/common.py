@@ -121,9 +121,9 @@ def written_so_far() -> int:
 BROADCAST_IDS = 1_000_000
 
 
-def few(ids: DataFrame) -> DataFrame:
+def few(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     """Written ids, marked for a broadcast where they are few."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return F.broadcast(ids) if ids.count() <= most else ids
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -34,6 +34,8 @@ SHINGLE, PERCENT, PERMUTATIONS, BANDS, ROWS = 5, 80, 40, 20, 4
 #: standard deviations of an estimate from 80 values.
 SLACK = 0.25
 CHUNK = 4096
+#: Classes of copies that may be broadcast: 8 MB. Beyond, documents are shuffled to them.
+BROADCAST_CLASSES = 250_000
 #: Shingles and documents on either side of a block, about.
 BLOCK_SHINGLES, BLOCK_DOCS = 250_000, 2000
 
@@ -260,7 +262,8 @@ def near_duplicates(
     signed = materialise(docs.mapInArrow(_signer(shingle, permutations, bands, rows), "doc_id long, n_shingles long, d1 long, d2 long, sig binary, keys array<long>"), "signed")
     full = signed.where("n_shingles > 0")
     classes = full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    classes = materialise(classes.where("copies > 1"), "classes")  # apart, so that a hot class can be split in the join
+    classes = materialise(classes.where("copies > 1").drop("copies"), "classes")  # apart, so that a hot class can be split in the join
+    classes = few(classes, BROADCAST_CLASSES)
     row = ["doc_id", "d1", "d2", "n_shingles"]  # a doc_id may have other rows, which are no copies
     copies = full.join(classes, ["d1", "d2", "n_shingles"]).where("rep <> doc_id").select("rep", *row)
     folded = materialise(copies.distinct(), "copies")
