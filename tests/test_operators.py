@@ -241,3 +241,34 @@ def test_ignore_files_are_found_above(tmp_path):
     (tmp_path / "a/b").mkdir(parents=True)
     (tmp_path / ".gitignore").write_text("x")
     assert extraction.find_rules(str(tmp_path / "a/b")) == str(tmp_path / ".gitignore")
+
+
+def test_hashed_search_shuffles_no_pairs(spark, sf, monkeypatch):
+    """Blocks of queries give what one block gives, and what meets in a shuffle grows with k a query and task, not with pairs."""
+    p = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("vec_id AS id", "cast(embedding AS array<double>) AS vec")
+    asked = p.where("id % 25 = 0").selectExpr("id AS query", "vec")
+    plans = []
+    monkeypatch.setattr(retrieval, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    one = sorted(map(tuple, retrieval.knn_hashed(p, asked, 10).collect()))
+    assert len(one) == 200 and "MapInArrow" in plans[0] and "Join" not in plans[0]
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 7)
+    monkeypatch.setattr(retrieval, "SCORE_ROWS", 100)
+    assert sorted(map(tuple, retrieval.knn_hashed(p, asked, 10).collect())) == one
+
+
+def test_hashed_search_with_narrow_buckets(spark):
+    """Only points that share a bucket in some table are compared; queries that get too few are answered in full."""
+    g = np.random.default_rng(5)
+    v = g.standard_normal((300, 6))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    p = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vec array<double>")
+    q = p.where("id < 15").withColumnRenamed("id", "query")
+    codes = retrieval._projected(6, 0.05, 2, 42)(v)
+    score = np.round(v @ v.T, 9)
+    got = {}
+    for r in retrieval.knn_hashed(p, q, 3, 0.05, 2).collect():
+        got.setdefault(r.query, []).append((r["rank"], r.id))
+    for n in range(15):
+        near = [i for i in range(300) if (codes[i] == codes[n]).any()]
+        near = near if len(near) >= 3 else range(300)
+        assert [i for _, i in sorted(got[n])] == sorted(near, key=lambda i: (-score[n, i], i))[:3]
