@@ -272,3 +272,29 @@ def test_hashed_search_with_narrow_buckets(spark):
         near = [i for i in range(300) if (codes[i] == codes[n]).any()]
         near = near if len(near) >= 3 else range(300)
         assert [i for _, i in sorted(got[n])] == sorted(near, key=lambda i: (-score[n, i], i))[:3]
+
+
+def test_lexical_search_scores_kinds_of_symbols(spark):
+    """As pair by pair: few names, many symbols and queries; symbols and queries that come twice; ties at the edge of k."""
+    g = np.random.default_rng(7)
+    words = ["red", "ring", "bolt", "redring", "blue"]
+    names = [(f"s{int(g.integers(0, 50)):02}", str(g.choice(words))) for _ in range(70)]
+    index = sorted({(t, i) for i, n in names for t in (n, *g.choice(words, 2))})
+    asked = [(f"q{n % 9}", [str(w) for w in g.choice(words, 1 + n % 3)]) for n in range(12)]
+    want = {}
+    for q, tokens in asked:
+        for t in tokens:
+            for token, i in index:
+                for own, name in names:
+                    if token == t and own == i:
+                        points, most = want.get((q, i), (0.0, 0))
+                        gain = 10 if name == t else 5 if name.startswith(t) else 3 if t in name else 1
+                        want[q, i] = points + gain, max(most, len(tokens))
+    ranked = {}
+    for (q, i), (points, most) in want.items():
+        ranked.setdefault(q, []).append((-round(points / most, 9), i))
+    rows = retrieval.lexical(spark.createDataFrame(index, "token string, id string"), spark.createDataFrame(names, "id string, name string"), spark.createDataFrame(asked, "query string, tokens array<string>"), 6)
+    got = sorted((r.query, r["rank"], r.id, round(r.score, 9)) for r in rows.collect())
+    assert got == sorted((q, n, i, -s) for q, every in ranked.items() for n, (s, i) in enumerate(sorted(every)[:6], 1))
+    plan = retrieval.lexical(spark.createDataFrame(index, "token string, id string"), spark.createDataFrame(names, "id string, name string"), spark.createDataFrame(asked, "query string, tokens array<string>"), 6)
+    assert "list" in plan._jdf.queryExecution().analyzed().toString()  # no join of queries with symbols
