@@ -298,3 +298,12 @@ def test_lexical_search_scores_kinds_of_symbols(spark):
     assert got == sorted((q, n, i, -s) for q, every in ranked.items() for n, (s, i) in enumerate(sorted(every)[:6], 1))
     plan = retrieval.lexical(spark.createDataFrame(index, "token string, id string"), spark.createDataFrame(names, "id string, name string"), spark.createDataFrame(asked, "query string, tokens array<string>"), 6)
     assert "list" in plan._jdf.queryExecution().analyzed().toString()  # no join of queries with symbols
+
+
+def test_pairs_of_a_namespace_are_dealt_out(spark, sf):
+    """A small table gives many pairs: they come from several tasks, and scores from pairs of files."""
+    from codelattice.plans import catalogue
+
+    out = catalogue.QUERIES["namespace_score"](spark, sf)
+    filled = [n for n in out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert len(filled) > 4 and max(filled) < sum(filled) / 2
