@@ -307,3 +307,16 @@ def test_pairs_of_a_namespace_are_dealt_out(spark, sf):
     out = catalogue.QUERIES["namespace_score"](spark, sf)
     filled = [n for n in out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
     assert len(filled) > 4 and max(filled) < sum(filled) / 2
+
+
+def test_cascade_asks_only_what_has_a_vector(spark, sf, monkeypatch):
+    """A query without a vector gives no rows in the end, and its lexical stage isn't run."""
+    from codelattice.plans import catalogue
+
+    seen, plain = [], retrieval.lexical
+    monkeypatch.setattr(retrieval, "lexical", lambda i, n, q, k: seen.append(q) or plain(i, n, q, k))
+    points = catalogue._points
+    want = sorted(map(tuple, catalogue.QUERIES["multi_stage"](spark, sf).where("query <> 'part_000100'").collect()))
+    monkeypatch.setattr(catalogue, "_points", lambda s, d: points(s, d).where("idx <> 100"))
+    got = catalogue.QUERIES["multi_stage"](spark, sf)
+    assert {r.query for r in got.collect()} == {r.query for r in seen[-1].collect()} == {"part_000000"} and want
