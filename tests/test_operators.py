@@ -78,6 +78,23 @@ def test_walks_follow_edges_and_repeat(spark):
         assert all((a, b) in known or (b, a) in known for a, b in zip(r.walk, r.walk[1:], strict=False))
 
 
+def test_held_walks_are_those_by_joins(spark, monkeypatch):
+    g = np.random.default_rng(5)
+    pairs = {(int(a), int(b)) for a, b in zip(g.integers(0, 40, 90), g.integers(0, 40, 90), strict=True) if a != b} | {(7, x) for x in range(100, 190)}
+    e = spark.createDataFrame([(a, b + (b > 150) * 2**40, float(g.choice([0.0, 0.3, 0.5, 1.7]))) for a, b in sorted(pairs)], "src_idx long, dst_idx long, weight double")
+    for neighbours, seed in ((None, 42), (50, 2**33)):
+        held = models.walks(e, 3, 19, neighbours, seed)
+        plan = held._jdf.queryExecution().toString()
+        assert "Join" not in plan and "Exchange" not in plan
+        with monkeypatch.context() as m:
+            m.setattr(models, "HELD_BYTES", 0)
+            joined = models.walks(e, 3, 19, neighbours, seed)
+        assert held.schema.simpleString() == joined.schema.simpleString()
+        rows = sorted(held.collect())
+        assert rows == sorted(joined.collect()) and all(len(r.walk) == 19 for r in rows)
+    assert models.walks(e.where("false")).count() == 0
+
+
 def test_views(spark):
     e = spark.createDataFrame([(i, (i + 1) % 9, 1.0) for i in range(9)], "src_idx long, dst_idx long, weight double")
     v = models.skipgram(models.walks(e, 2, 8), dim=4, epochs=1)
