@@ -95,6 +95,24 @@ def test_held_walks_are_those_by_joins(spark, monkeypatch):
     assert models.walks(e.where("false")).count() == 0
 
 
+def test_skipgrams_of_several_tasks(spark, monkeypatch):
+    g = np.random.default_rng(6)
+    pairs = {(int(a) + k, int(b) + k) for k in (0, 2**33) for a, b in g.integers(0, 30, (120, 2)) if a != b}
+    e = spark.createDataFrame([(a, b, 1.0) for a, b in sorted(pairs)], "src_idx long, dst_idx long, weight double")
+    w = models.walks(e, 10, 40).repartitionByRange(3, "start").select(F.expr("slice(walk, 1, 40 - walk_no)").alias("walk"))
+    tasks = []
+    kept = type(w).coalesce
+    monkeypatch.setattr(type(w), "coalesce", lambda self, n: tasks.append(n) or kept(self, n))
+    monkeypatch.setattr(models, "TRAINER_WORDS", 1000)
+    out = {r.idx: np.array(r.vec) for r in models.skipgram(w, 8, 5, 4).collect()}
+    assert tasks == [3] * 4 and sorted(out) == sorted({x for p in pairs for x in p})
+    v = np.array([out[i] / np.linalg.norm(out[i]) for i in sorted(out)])
+    half = sum(i < 2**33 for i in out)
+    near, far = v[:half] @ v[:half].T, v[:half] @ v[half:].T
+    assert near.mean() > far.mean() + 0.5
+    assert models.skipgram(w.where("false")).count() == 0
+
+
 def test_views(spark):
     e = spark.createDataFrame([(i, (i + 1) % 9, 1.0) for i in range(9)], "src_idx long, dst_idx long, weight double")
     v = models.skipgram(models.walks(e, 2, 8), dim=4, epochs=1)
