@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from codelattice import api
 from codelattice.operators import extraction, graph, loading, models, retrieval
+from codelattice.plans import catalogue
 from codelattice.sources import tables
 from codelattice.streaming import incremental
 
@@ -95,6 +96,28 @@ def test_held_walks_are_those_by_joins(spark, monkeypatch):
     assert models.walks(e.where("false")).count() == 0
 
 
+def test_walks_reach_every_neighbour(spark, tmp_path, monkeypatch):
+    """A part with 120 neighbours: walks go to all of them, held by tasks or by joins; nodes that have the same ways share them."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT i::BIGINT AS p_partkey, 'x' AS p_name, 'Brand#1' AS p_brand, 'T' AS p_type, 1 AS p_size FROM range(1, 150) r(i)) TO '{tmp_path}/part.parquet'")
+    # Orders of two lines: part 1, then one of the parts 2 to 121 that is no multiple of 50.
+    con.execute(f"COPY (SELECT i::BIGINT AS l_orderkey, CASE n WHEN 1 THEN 1 ELSE i END::BIGINT AS l_partkey, n::INTEGER AS l_linenumber, 0.0 AS l_discount, 'R' AS l_returnflag, 50.0 AS l_quantity FROM range(2, 122) r(i), range(1, 3) s(n)) TO '{tmp_path}/lineitem.parquet'")
+    n = {r.ord: r.idx for r in catalogue._nodes(spark, str(tmp_path)).collect()}
+    held = catalogue.QUERIES["random_walks"](spark, str(tmp_path)).collect()
+    assert {x for r in held for x in r.walk} == {n[k] for k in range(1, 122)}
+    assert {x for r in held for x in r.walk[1:] if r.start == n[1]} >= {n[1]} and len({r.walk[2] for r in held}) > 60
+    e = spark.createDataFrame([(0, i, 1.0) for i in range(1, 301)], "src_idx long, dst_idx long, weight double")
+    monkeypatch.setattr(models, "HELD_BYTES", 12 * (301 + 301))
+    shared = models.walks(e, 2, 9)
+    assert "Join" not in shared._jdf.queryExecution().toString()
+    rows = sorted(shared.collect())
+    assert max(x for r in rows for x in r.walk[2:] if r.start) > 280
+    monkeypatch.setattr(models, "HELD_BYTES", 0)
+    assert rows == sorted(models.walks(e, 2, 9).collect())
+
+
 def test_skipgrams_of_several_tasks(spark, monkeypatch):
     g = np.random.default_rng(6)
     pairs = {(int(a) + k, int(b) + k) for k in (0, 2**33) for a, b in g.integers(0, 30, (120, 2)) if a != b}
