@@ -108,6 +108,10 @@ def test_walks_reach_every_neighbour(spark, tmp_path, monkeypatch):
     held = catalogue.QUERIES["random_walks"](spark, str(tmp_path)).collect()
     assert {x for r in held for x in r.walk} == {n[k] for k in range(1, 122)}
     assert {x for r in held for x in r.walk[1:] if r.start == n[1]} >= {n[1]} and len({r.walk[2] for r in held}) > 60
+    # Skip-grams are trained on the same walks.
+    with monkeypatch.context() as m:
+        m.setattr(models, "skipgram", lambda walked: walked)
+        assert sorted(catalogue.QUERIES["skipgram"](spark, str(tmp_path)).collect()) == sorted(held)
     e = spark.createDataFrame([(0, i, 1.0) for i in range(1, 301)], "src_idx long, dst_idx long, weight double")
     monkeypatch.setattr(models, "HELD_BYTES", 12 * (301 + 301))
     shared = models.walks(e, 2, 9)
