@@ -122,6 +122,35 @@ def test_walks_reach_every_neighbour(spark, tmp_path, monkeypatch):
     assert rows == sorted(models.walks(e, 2, 9).collect())
 
 
+def test_a_step_of_skipgrams_is_that_of_its_pairs(monkeypatch):
+    """Held against a loop over the pairs; drawn words are worked out once a word, however often it stands on the walks."""
+    g = np.random.default_rng(8)
+    walks, drawn = g.integers(0, 6, (4, 37)).astype(np.int32), np.array([1, 1, 5, 9, 11, 9], np.int32)
+    vin, vout = g.standard_normal((2, 12, 8)).astype(np.float32)
+    near = np.random.default_rng(3).integers(1, 4, walks.shape)
+    by, n = np.zeros((2, 12, 8)), np.zeros((2, 12))
+    wrong = lambda x: 1 / (1 + np.exp(x))
+    for walk, size in zip(walks, near, strict=True):
+        for i, j in ((i, j) for i in range(37) for j in range(37) if 0 < abs(i - j) <= size[i]):
+            a, b = walk[i], walk[j]
+            step = wrong(vin[a] @ vout[b])
+            by[0, a] += step * vout[b]
+            by[1, b] += step * vin[a]
+            n[0, a] += 4
+            n[1, b] += 1
+            for d in drawn:
+                step = -wrong(-vin[a] @ vout[d]) * 3 / len(drawn)
+                by[0, a] += step * vout[d]
+                by[1, d] += step * vin[a]
+                n[1, d] += 3 / len(drawn)
+    want = np.stack([vin, vout]) + by * np.minimum(0.025, models.MOST_STEP / np.maximum(n, 1))[..., None]
+    rows, kept = [], models._unlikely
+    monkeypatch.setattr(models, "_unlikely", lambda x: rows.append(x.shape) or kept(x))
+    models._train(walks, vin, vout, drawn, 3, 3, 0.025, np.random.default_rng(3))
+    assert np.stack([vin, vout]) == pytest.approx(want, abs=1e-5)
+    assert [x for x in rows if len(x) == 2] == [(6, 6)]
+
+
 def test_skipgrams_of_several_tasks(spark, monkeypatch):
     g = np.random.default_rng(6)
     pairs = {(int(a) + k, int(b) + k) for k in (0, 2**33) for a, b in g.integers(0, 30, (120, 2)) if a != b}
